@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layertext.llm import minhash
+from layertext.llm import minhash, mixing, packing
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A text's words in DuckDB.
@@ -34,5 +34,17 @@ c AS (SELECT a, min(b) AS m FROM r GROUP BY a)
 SELECT n.doc_id, n.n AS n_shingles, c.m AS component_id, n.doc_id = c.m AS kept FROM n JOIN c ON n.doc_id = c.a
 """
 
-QUERIES = {"op3_minhash_near_dedup": op3_minhash_near_dedup}
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op9_pack_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op9_pack_length_buckets": op9_pack_length_buckets,
+}
 ORACLES = {"op3_minhash_near_dedup": OP3_SQL}
