@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layertext.llm import minhash, mixing, packing
+from layertext.llm import langid, minhash, mixing, packing
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A text's words in DuckDB.
@@ -42,9 +42,16 @@ def op9_pack_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op8_language_id": op8_language_id,
     "op9_pack_length_buckets": op9_pack_length_buckets,
 }
 ORACLES = {"op3_minhash_near_dedup": OP3_SQL}
