@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layertext.llm import langid, minhash, mixing, packing
+from layertext.llm import langid, minhash, mixing, packing, urls, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A text's words in DuckDB.
@@ -48,10 +48,24 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_url_templates": op2_url_templates,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_warc_segments": op4_warc_segments,
     "op8_language_id": op8_language_id,
     "op9_pack_length_buckets": op9_pack_length_buckets,
 }
-ORACLES = {"op3_minhash_near_dedup": OP3_SQL}
+ORACLES = {
+    "op2_url_templates": urls.sql(),
+    "op3_minhash_near_dedup": OP3_SQL,
+    "op4_warc_segments": warc.SQL,
+}
