@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layertext.llm import langid, minhash, mixing, packing, urls, warc
+from layertext.llm import langid, minhash, mixing, packing, pivots, urls, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A text's words in DuckDB.
@@ -56,6 +56,10 @@ def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_products(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_url_templates": op2_url_templates,
@@ -63,9 +67,11 @@ QUERIES = {
     "op4_warc_segments": op4_warc_segments,
     "op8_language_id": op8_language_id,
     "op9_pack_length_buckets": op9_pack_length_buckets,
+    "op10_pivot_top_k": op10_pivot_top_k,
 }
 ORACLES = {
     "op2_url_templates": urls.sql(),
     "op3_minhash_near_dedup": OP3_SQL,
     "op4_warc_segments": warc.SQL,
+    "op10_pivot_top_k": pivots.SQL,
 }
