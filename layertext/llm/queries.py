@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layertext.llm import fingerprints, langid, minhash, mixing, packing, pivots, urls, warc
+from layertext.llm import fingerprints, interpolation, langid, minhash, mixing, packing, pivots, urls, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A text's words in DuckDB.
@@ -64,11 +64,16 @@ def op7_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_url_templates": op2_url_templates,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_warc_segments": op4_warc_segments,
+    "op6_deleted_interpolation": op6_deleted_interpolation,
     "op7_iblt_fingerprints": op7_iblt_fingerprints,
     "op8_language_id": op8_language_id,
     "op9_pack_length_buckets": op9_pack_length_buckets,
