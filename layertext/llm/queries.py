@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layertext.llm import fingerprints, interpolation, langid, minhash, mixing, packing, pivots, urls, warc
+from layertext.llm import fingerprints, interpolation, langid, minhash, mixing, packing, passages, pivots, urls, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A text's words in DuckDB.
@@ -68,11 +68,16 @@ def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.scores(table(spark, sf_dir, "documents"))
 
 
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("th")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_url_templates": op2_url_templates,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_warc_segments": op4_warc_segments,
+    "op5_compact_windows": op5_compact_windows,
     "op6_deleted_interpolation": op6_deleted_interpolation,
     "op7_iblt_fingerprints": op7_iblt_fingerprints,
     "op8_language_id": op8_language_id,
