@@ -73,7 +73,8 @@ def templates(leaves: DataFrame) -> DataFrame:
         off = F.abs(F.col("blocked") / F.greatest(F.col("labelled"), F.lit(1)) - rate)
         similar = (F.col("labelled") >= LABELLED) & (F.col("labelled") < F.col("all_labelled")) & (off <= spread * DEVIATIONS)
         merged = F.when((F.col(seg) != "") & (variable | similar), F.lit("*")).otherwise(F.col(seg))
-        leaves = leaves.join(child.select(*node, seg, merged.alias(f"t{d}")), [*node, seg])
+        # written, for the next level reads it three times
+        leaves = shared.written(leaves.join(child.select(*node, seg, merged.alias(f"t{d}")), [*node, seg]), "leaves")
     return leaves
 
 
