@@ -6,7 +6,7 @@ A document's set holds its distinct five-word shingles.  Its sketch is the k lea
 2. Inverted lists of the retained values.  Two linked documents share most of their sketches, so they meet in a list of
    one of their rarest retained values already (prefix filtering): only those rarest values get lists.  Short lists give
    all their pairs.  Long lists, which are families of copies or passages of many documents, give each member a pair with
-   two pivots only; what the pivots leave unconnected is compared with the whole list in blocks of bounded size.
+   two pivots only; what the pivots leave apart is compared with the whole list in blocks of bounded size.
 3. The union's sketch estimates the similarity of a pair and drops pairs far below the threshold.
 4. The full sets confirm or reject each remaining pair: first each class's best partner, then the pairs between
    components that are still apart.  Pairs inside a component can't change it.
@@ -32,7 +32,7 @@ K = 48
 #: Lists of at most so many members give all their pairs.
 SHORT = 12
 #: Members of a block, and of a part of a list, that meet in one task.
-BLOCK, PART = 256, 4096
+BLOCK, PART = 1024, 4096
 
 
 def floor_of(percent: int, k: int = K) -> float:
@@ -135,13 +135,19 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
 
 
+def _class_texts(nodes: DataFrame, sketched: DataFrame, docs: DataFrame) -> DataFrame:
+    """(sig, text): one text of each class in nodes (sig)."""
+    none = F.lit(-(2**63))
+    wanted = sketched.join(nodes, "sig").groupBy("sig").agg(F.min(F.struct(F.coalesce("doc_id", none).alias("id"), "th")).alias("at"))
+    texts = _texts(docs).withColumn("id", F.coalesce("doc_id", none)).join(wanted.select("sig", "at.id", "at.th"), ["id", "th"]).select("sig", "text")
+    repeated = not texts.select("sig").groupBy("sig").count().where("count > 1").isEmpty()
+    return texts.groupBy("sig").agg(F.any_value("text").alias("text")) if repeated else texts
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, sketched: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """Confirmed edges that connect what all confirmed pairs (a, b, est) would connect."""
     nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    wanted = sketched.join(nodes, "sig").groupBy("sig").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "th")).alias("at"))
-    wanted = wanted.select("sig", "at.id", "at.th")
-    texts = _texts(docs).withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).join(wanted, ["id", "th"]).select("sig", "text")
-    texts = shared.written(texts.groupBy("sig").agg(F.any_value("text").alias("text")) if _repeats(texts) else texts, "texts")
+    texts = shared.written(_class_texts(nodes, sketched, docs), "texts")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "est"))
     best = both.groupBy("a").agg(F.max(F.struct("est", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
     best = shared.written(_verified(best, texts, percent, width), "links")
@@ -151,60 +157,74 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, sketched: DataFrame, docs: Dat
     return shared.written(best.unionByName(_verified(rest, texts, percent, width)), "links")
 
 
-def _repeats(texts: DataFrame) -> bool:
-    """Whether some signature has several rows: rows of the table that are equal in id and text."""
-    return not texts.select("sig").groupBy("sig").count().where("count > 1").isEmpty()
-
+def _left_over(rows: DataFrame, sketched: DataFrame, docs: DataFrame, roots: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) within long lists that join what the pivots left in different components.
 
-def _left_over(rows: DataFrame, reps: DataFrame, roots: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs (a, b) of long lists that the pivots left in different components.
-
-    Of each list, the members outside its most frequent component are dealt into blocks, the whole list into parts;
-    each block meets each part in a group of bounded size, which returns the pairs that share enough retained values.
+    Lists with the same central member form one bundle, so a family of copies meets about once.  Of each bundle, the
+    members outside its most frequent component are dealt into blocks and all members into parts; each block meets each
+    part in a group of bounded size, which compares their sets (as 32-bit hashes) and returns a spanning forest of the
+    links between components.  So the output grows with the members, not with their pairs.
     """
-    floor = floor_of(percent, k)
-    rows = rows.where("long").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("v", "sig", "n", F.coalesce("root", "sig").alias("root"))
-    sizes = rows.groupBy("v", "root").agg(F.count("*").alias("c"))
-    lists = sizes.groupBy("v").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top")).where("m > top")
-    lists = shared.written(lists.select("v", "main", F.ceil((F.col("m") - F.col("top")) / BLOCK).alias("blocks"), F.ceil(F.col("m") / PART).alias("parts")), "open")
-    if lists.isEmpty():
-        return rows.sparkSession.createDataFrame([], "a binary, b binary")
-    rows = rows.join(lists, "v").join(reps.select("sig", "sketch"), "sig").withColumn("h", F.xxhash64("sig"))
-    kept = ["v", "sig", "n", "root", "sketch", "block", "part", "asks"]
-    asks = rows.where("root != main").withColumn("block", F.pmod("h", "blocks")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    meets = rows.withColumn("part", F.pmod("h", "parts")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    long = rows.where("long")
+    central = long.groupBy("v").agg(F.min(F.struct("rare", "n", "sig")).alias("c")).select("v", F.col("c.sig").alias("p"))
+    members = long.join(central, "v").select("p", "sig", "n").distinct()
+    members = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("p", "sig", "n", F.coalesce("root", "sig").alias("root"))
+    members = shared.written(members, "members")
+    sizes = members.groupBy("p", "root").agg(F.count("*").alias("c"))
+    bundles = sizes.groupBy("p").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top")).where("m > top")
+    counts = (F.ceil((F.col("m") - F.col("top")) / BLOCK).alias("blocks"), F.ceil(F.col("m") / PART).alias("parts"))
+    bundles = shared.written(bundles.select("p", "main", *counts), "open")
+    members = members.join(bundles, "p")
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(s.astype(np.uint32)).tobytes() for s in words.shingle_sets(batch.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(sets, pa.binary())], names=["sig", "set"])
+
+    texts = _class_texts(members.select("sig").distinct(), sketched, docs)
+    sets = shared.written(texts.mapInArrow(hashes, "sig binary, set binary"), "sets")
+    members = members.join(sets, "sig").withColumn("h", F.xxhash64("sig"))
+    kept = ["p", "sig", "n", "root", "set", "block", "part", "asks"]
     types = {c: F.col(c).cast("long") for c in ("block", "part")}
+    asks = members.where("root != main").withColumn("block", F.pmod("h", "blocks")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    meets = members.withColumn("part", F.pmod("h", "parts")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = asks.withColumn("asks", F.lit(True)).withColumns(types).select(kept).unionByName(meets.withColumn("asks", F.lit(False)).withColumns(types).select(kept))
 
     def run(group: pa.Table) -> pa.Table:
+        out: list[tuple[bytes, bytes]] = []
         asking = group.filter(group.column("asks"))
         meeting = group.filter(pa.compute.invert(group.column("asks")))
-        out_a, out_b = [], []
         if len(asking) and len(meeting):
-            left, right = asking.column("sketch").combine_chunks(), meeting.column("sketch").combine_chunks()
-            known, code = np.unique(left.values.to_numpy()[left.offsets[0].as_py() : left.offsets[-1].as_py()], return_inverse=True)
-            size_l, size_r = np.diff(left.offsets.to_numpy()), np.diff(right.offsets.to_numpy())
-            has = np.zeros((len(asking), len(known)), np.float32)
-            has[np.repeat(np.arange(len(asking)), size_l), code] = 1
-            flat = right.values.to_numpy()[right.offsets[0].as_py() : right.offsets[-1].as_py()]
-            place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-            hit, owner = known[place] == flat, np.repeat(np.arange(len(meeting)), size_r)
-            other = np.zeros((len(meeting), len(known)), np.float32)
-            other[owner[hit], place[hit]] = 1
-            shares = has @ other.T >= floor * np.maximum(size_l[:, None], size_r[None, :])
-            n_l, n_r = asking.column("n").to_numpy()[:, None], meeting.column("n").to_numpy()[None, :]
-            shares &= 100 * np.minimum(n_l, n_r) >= percent * np.maximum(n_l, n_r)
-            roots_l, roots_r = (np.unique(np.array(t.column("root").to_pylist(), object), return_inverse=True) for t in (asking, meeting))
-            same = np.array([[x == y for y in roots_r[0]] for x in roots_l[0]])
-            shares &= ~same[roots_l[1]][:, roots_r[1]]
+            left = [np.frombuffer(x, np.uint32) for x in asking.column("set").to_pylist()]
+            right = [np.frombuffer(x, np.uint32) for x in meeting.column("set").to_pylist()]
+            size = np.array([len(x) for x in right])
+            starts = np.r_[0, np.cumsum(size)[:-1]]
+            known, code = np.unique(np.concatenate(right), return_inverse=True)
             sig_l, sig_r = asking.column("sig").to_pylist(), meeting.column("sig").to_pylist()
-            for i, j in zip(*np.nonzero(shares), strict=True):
-                a, b = sorted((sig_l[i], sig_r[j]))
-                out_a.append(a)
-                out_b.append(b)
-        return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
-
-    return dealt.groupBy("v", "block", "part").applyInArrow(run, "a binary, b binary").distinct()
+            root_l, root_r = asking.column("root").to_pylist(), meeting.column("root").to_pylist()
+            number = {r: i for i, r in enumerate({*root_l, *root_r})}
+            of_r = np.array([number[r] for r in root_r])
+            up = list(range(len(number)))
+
+            def top(i: int) -> int:
+                while up[i] != i:
+                    up[i] = i = up[up[i]]
+                return i
+
+            for mine, sig, root in zip(left, sig_l, root_l, strict=True):
+                mark = np.zeros(len(known) + 1, bool)
+                place = np.searchsorted(known, mine)
+                mark[place[known[np.minimum(place, len(known) - 1)] == mine]] = True
+                same = np.add.reduceat(mark[code], starts, dtype=np.int64)
+                hit = np.flatnonzero(100 * same >= percent * (size + len(mine) - same))
+                for r, j in zip(*np.unique(of_r[hit], return_index=True), strict=True):
+                    x, y = top(number[root]), top(int(r))
+                    if x != y:
+                        up[x] = y
+                        out.append((min(sig, sig_r[hit[j]]), max(sig, sig_r[hit[j]])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+    return dealt.groupBy("p", "block", "part").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int = K) -> DataFrame:
@@ -224,10 +244,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int =
     pairs = shared.written(_estimated(pairs, reps, percent, k), "pairs")
     links = _confirmed(pairs, reps, sketched, docs, percent, width)
     roots = shared.written(_roots(links), "roots")
-    more = _left_over(rows, reps, roots, percent, k)
-    if not (more := shared.written(_estimated(more, reps, percent, k), "pairs")).isEmpty():
-        links = links.unionByName(_confirmed(more, reps, sketched, docs, percent, width))
-        roots = shared.written(_roots(links), "roots")
+    if not rows.where("long").isEmpty():
+        more = shared.written(_left_over(rows, sketched, docs, roots, percent, width), "more")
+        if not more.isEmpty():
+            nodes = more.select(F.col("a").alias("sig")).union(more.select("b")).distinct()
+            texts = shared.written(_class_texts(nodes, sketched, docs), "texts")
+            links = links.unionByName(_verified(more, texts, percent, width))
+            roots = shared.written(_roots(links), "roots")
     classes = reps.select("sig", "label").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
     linked = classes.where("root is not null")
     least = linked.groupBy("root").agg(F.min("label").alias("least"))
