@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from layertext.llm import mixing
+from layertext.llm import mixing, shared
 
 #: Lengths that agree in so many leading binary digits, rounded up, share a class: at most 64 classes for each doubling.
 BITS = 7
@@ -71,6 +71,7 @@ def pack(docs: DataFrame, budget: int = 16_384, buckets: int = 16, length: Colum
     """
     found = F.coalesce(length, F.lit(0)).cast("long") if length is not None else mixing.word_count(docs["text"])
     rows = docs.select(docs["doc_id"], found.alias("length"), F.xxhash64(docs["doc_id"], docs["text"]).alias("tie"))
+    rows = shared.written(rows, "lengths")  # else every use of a length counts the words again
     ends = boundaries(histogram(rows), buckets)
     bucket, width = (reduce(lambda rest, i: F.when(F.col("length") <= ends[i], F.lit(v(i))).otherwise(rest), reversed(range(len(ends))), F.lit(None).cast(t)) for v, t in ((lambda i: i, "int"), (lambda i: ends[i], "long")))
     some = F.col("length") > 0
