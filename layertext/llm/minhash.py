@@ -269,9 +269,13 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) ->
 
     Of rows that repeat a doc_id and a group, one stays.  A null or blank text is a group of its own.
     """
-    found = near_duplicates(docs, percent, width).where("kept")
-    chosen = found.groupBy("doc_id", F.when(F.col("n_shingles") > 0, F.lit(0)).otherwise(F.col("th")).alias("empty")).agg(F.min("th").alias("th"))
-    chosen = shared.written(chosen.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "kept")
+
+    def choose() -> DataFrame:
+        found = near_duplicates(docs, percent, width).where("kept")
+        one = found.groupBy("doc_id", F.when(F.col("n_shingles") > 0, F.lit(0)).otherwise(F.col("th")).alias("empty")).agg(F.min("th").alias("th"))
+        return one.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+
+    chosen = shared.result(docs.sparkSession, choose, "kept")
     same = [docs["doc_id"].cast("long").eqNullSafe(chosen["__id"]), F.xxhash64(docs["text"]) == chosen["__th"]]
     out = docs.join(chosen, same, "left_semi")
     repeated = not out.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").isEmpty()

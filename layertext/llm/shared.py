@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +41,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and any executor may be lost later."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    for paths in _open_scopes()[-1:]:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scopes = threading.local()
+
+
+def _open_scopes() -> list[list[str]]:
+    if not hasattr(_scopes, "paths"):
+        _scopes.paths = []
+    return _scopes.paths
+
+
+def result(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Write what build() returns and delete the tables that were written on the way: only the result stays on disk.
+
+    build() must not hand out tables in any other way, as they are gone afterwards.
+    """
+    path = new_path(spark, name)
+    for paths in _open_scopes()[-1:]:
+        paths.append(path)
+    _open_scopes().append([])
+    try:
+        df = build()
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for done in _open_scopes().pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(done)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
