@@ -40,3 +40,35 @@ def pattern_distance(a: str, b: str, rho: float = 0.5) -> Column:
     top, bottom = wide * F.abs(ay - by) / fs, wide * F.abs(ay + ah - by - bh) / fs
     vertical = F.when((bottom < fs * rho) & (bottom < top), far(ax + aw - bx - bw, ay + ah - by - bh)).otherwise(far(ax - bx, ay - by))
     return F.when(F.col(f"{a}_direction") == "h", horizontal).otherwise(vertical)
+
+
+def rotated(x: Column, y: Column, cx: Column, cy: Column, degrees: Column) -> tuple[Column, Column]:
+    """The point (x, y) turned about (cx, cy), in doubles; y grows downwards."""
+    a = F.radians(degrees)
+    dx, dy = x - cx, y - cy
+    return dy * F.sin(a) + dx * F.cos(a) + cx, dy * F.cos(a) - dx * F.sin(a) + cy
+
+
+def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Distance of a point from a segment; a segment without length is its first point."""
+    dx, dy = (x2 - x1).cast("double"), (y2 - y1).cast("double")
+    along = F.coalesce(F.try_divide((px - x1) * dx + (py - y1) * dy, dx * dx + dy * dy), F.lit(0.0))
+    at = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
+    far_x, far_y = px - x1 - at * dx, py - y1 - at * dy
+    return F.sqrt(far_x * far_x + far_y * far_y)
+
+
+def extended(at: Column, size: Column, limit: Column, by: Column) -> tuple[Column, Column]:
+    """Start and size of one side of a box that grows by `by` both ways within 0..limit - 1."""
+    start = F.greatest(at - by, F.lit(0))
+    return start, F.least(size + by * 2, limit - start - 1)
+
+
+def needs_tiles(width: Column, height: Column, target: int) -> Column:
+    """Whether an image is too long and too narrow to be detected at once."""
+    long, short = F.greatest(width, height), F.least(width, height)
+    return (long / target > 2.5) & (F.try_divide(long, short) > 3)
+
+
+def alignment(n_lines: Column, direction: Column) -> Column:
+    return F.when((n_lines == 1) | (direction == "h"), "center").when(direction == "hr", "right").otherwise("left")

@@ -361,3 +361,34 @@ def color_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cells.groupBy("vec_id").agg(F.coalesce(front, F.lit(0.0)).alias("a"), F.coalesce(back, front, F.lit(0.0)).alias("b"))
     level = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), (F.col(c) * 512 + 128).cast("int")))
     return rows.select("vec_id", level("a").alias("fg"), level("b").alias("bg"))
+
+
+@query(f"WITH {LINES} SELECT page_id, line_id, round((y - cy) * sin(radians(deg - 90)) + (x - cx) * cos(radians(deg - 90)) + cx, 4) AS rx, round((y - cy) * cos(radians(deg - 90)) - (x - cx) * sin(radians(deg - 90)) + cy, 4) AS ry FROM lines")
+def rotated_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rx, ry = geometry.rotated(*[F.col(c) for c in ("x", "y", "cx", "cy")], F.col("deg") - 90)
+    return lines(spark, sf_dir).select("page_id", "line_id", F.round(rx, 4).alias("rx"), F.round(ry, 4).alias("ry"))
+
+
+@query(f"""WITH {LINES}, t AS (SELECT *, least(1, greatest(0, ((cy - y) * h + cx - 3 - x) / (h * h + 1))) AS pos FROM (SELECT *, CAST(h AS DOUBLE) AS hh FROM lines))
+SELECT page_id, line_id, round(sqrt((cx - 3 - x - pos) ** 2 + (cy - y - pos * hh) ** 2), 6) AS far FROM t""")
+def point_segment_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    far = geometry.segment_distance(F.col("cx") - 3, F.col("cy"), F.col("x"), F.col("y"), F.col("x") + 1, F.col("y") + F.col("h"))
+    return lines(spark, sf_dir).select("page_id", "line_id", F.round(far, 6).alias("far"))
+
+
+@query(f"WITH {LINES} SELECT page_id, line_id, greatest(x - fs, 0) AS x1, least(w + fs * 2, 300 - greatest(x - fs, 0) - 1) AS w1, greatest(y - fs, 0) AS y1, least(h + fs * 2, 300 - greatest(y - fs, 0) - 1) AS h1 FROM lines")
+def extended_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, w = geometry.extended(F.col("x"), F.col("w"), F.lit(300), F.col("fs"))
+    y, h = geometry.extended(F.col("y"), F.col("h"), F.lit(300), F.col("fs"))
+    return lines(spark, sf_dir).select("page_id", "line_id", x.alias("x1"), w.alias("w1"), y.alias("y1"), h.alias("h1"))
+
+
+@query("SELECT page_id, length(html) > 2.5 * 256 AND length(html) > 3 * length(url) AND length(url) > 0 AS tiles FROM pages WHERE length(html) >= length(url)")
+def tiling_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").where(F.length("html") >= F.length("url"))
+    return rows.select("page_id", F.coalesce(geometry.needs_tiles(F.length("url"), F.length("html"), 256), F.lit(False)).alias("tiles"))
+
+
+@query(f"WITH {LINES} SELECT page_id, CASE WHEN count(*) = 1 OR max(direction) = 'h' THEN 'center' ELSE 'left' END AS alignment FROM lines GROUP BY 1")
+def region_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).groupBy("page_id").agg(geometry.alignment(F.count("*"), F.max("direction")).alias("alignment"))
