@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from layertext.functions import geometry, text
-from layertext.operators import beam, graph, pairs, raster, regions
-from layertext.sources.derived import LINES, LOGITS, PIXELS, lines, logits, pixels, table
+from layertext.operators import beam, graph, pairs, quads, raster, regions
+from layertext.sources import derived
+from layertext.sources.derived import LINES, LOGITS, PIXELS, QUADS, lines, logits, pixels, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -392,3 +393,44 @@ def tiling_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LINES} SELECT page_id, CASE WHEN count(*) = 1 OR max(direction) = 'h' THEN 'center' ELSE 'left' END AS alignment FROM lines GROUP BY 1")
 def region_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).groupBy("page_id").agg(geometry.alignment(F.count("*"), F.max("direction")).alias("alignment"))
+
+
+@query(f"WITH {QUADS} SELECT page_id, line_id, vertical, round(ratio, 6) AS ratio, round(fs, 6) AS fs, round(angle, 6) AS angle, upright, area, x, y, w, h FROM quads")
+def quad_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quads.measured(derived.quads(spark, sf_dir))
+    return rows.select("page_id", "line_id", "vertical", F.round("ratio", 6).alias("ratio"), F.round("fs", 6).alias("fs"), F.round("angle", 6).alias("angle"), "upright", "area", "x", "y", "w", "h")
+
+
+# distances of the quads whose boxes are near: no axis keeps them apart, else the least way from a corner to a side
+_QUAD_GAPS = f"""{QUADS}, near AS (SELECT a.page_id, a.line_id AS u, b.line_id AS v, least(a.fs, b.fs) AS fs, greatest(a.fs, b.fs) AS fs2, a.ratio AS ar1, b.ratio AS ar2, a.angle AS t1, b.angle AS t2, a.upright AND b.upright AS up,
+a.px AS ax, a.py AS ay, b.px AS bx, b.py AS by_, a.x AS x1, a.y AS y1, a.w AS w1, a.h AS h1, b.x AS x2, b.y AS y2, b.w AS w2, b.h AS h2 FROM quads a JOIN quads b ON a.page_id = b.page_id AND a.line_id < b.line_id WHERE {_GAP} <= 2 * least(a.fs, b.fs)),
+ends AS (SELECT page_id, u, v, ax AS px, ay AS py, bx AS qx, by_ AS qy FROM near UNION ALL SELECT page_id, u, v, bx, by_, ax, ay FROM near),
+axes AS (SELECT page_id, u, v, px, py, qx, qy, py[i % 4 + 1] - py[i] AS nx, px[i] - px[i % 4 + 1] AS ny FROM ends, range(1, 5) r(i)),
+shades AS (SELECT page_id, u, v, list_transform([1, 2, 3, 4], lambda k: px[k] * nx + py[k] * ny) AS s, list_transform([1, 2, 3, 4], lambda k: qx[k] * nx + qy[k] * ny) AS t FROM axes),
+apart AS (SELECT page_id, u, v, bool_or(list_max(s) < list_min(t) OR list_max(t) < list_min(s)) AS apart FROM shades GROUP BY 1, 2, 3),
+off AS (SELECT page_id, u, v, px[k] - qx[i] AS x, py[k] - qy[i] AS y, CAST(qx[i % 4 + 1] - qx[i] AS DOUBLE) AS rx, CAST(qy[i % 4 + 1] - qy[i] AS DOUBLE) AS ry FROM ends, range(1, 5) r(i), range(1, 5) c(k)),
+put AS (SELECT *, least(1, greatest(0, (x * rx + y * ry) / (rx * rx + ry * ry))) AS t FROM off),
+ways AS (SELECT page_id, u, v, min(sqrt((x - t * rx) ** 2 + (y - t * ry) ** 2)) AS way FROM put GROUP BY 1, 2, 3),
+gaps AS (SELECT near.*, CASE WHEN apart THEN way ELSE 0 END AS gap FROM near JOIN apart USING (page_id, u, v) JOIN ways USING (page_id, u, v))"""
+
+
+@query(f"WITH {_QUAD_GAPS} SELECT page_id, u, v, round(gap, 6) AS gap FROM gaps WHERE gap <= 2 * fs")
+def quad_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quads.near_pairs(quads.measured(derived.quads(spark, sf_dir)), 2).select("page_id", "u", "v", F.round("gap", 6).alias("gap"))
+
+
+@query(f"""WITH {_QUAD_GAPS} SELECT page_id, u, v FROM gaps WHERE CASE WHEN up THEN {_edge_sql(pairs.MERGE)}
+ELSE {_near_sql(pairs.MERGE)} AND abs(t1 - t2) < radians(15) AND gap <= fs * {pairs.MERGE.edge} AND (fs2 - fs) / fs <= 0.25 END""")
+def quad_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quads.edges(quads.measured(derived.quads(spark, sf_dir)), pairs.MERGE)
+
+
+@query(f"""WITH {LINES}, p AS (SELECT page_id, line_id, cx, cy, deg - 90 AS angle, x AS px, y AS py FROM lines UNION ALL SELECT page_id, line_id, cx, cy, deg - 90, x + w, y + h FROM lines),
+f AS (SELECT *, round((py - cy) * sin(radians(angle)) + (px - cx) * cos(radians(angle)) + cx, 9) AS fx, round((py - cy) * cos(radians(angle)) - (px - cx) * sin(radians(angle)) + cy, 9) AS fy FROM p),
+b AS (SELECT page_id, line_id, cx, cy, -any_value(angle) AS back, min(fx) AS l, max(fx) AS r, min(fy) AS t, max(fy) AS b FROM f GROUP BY 1, 2, 3, 4)
+SELECT page_id, line_id, greatest(0, CAST(trunc(round((t - cy) * sin(radians(back)) + (l - cx) * cos(radians(back)) + cx, 6)) AS INTEGER)) AS x1, greatest(0, CAST(trunc(round((b - cy) * cos(radians(back)) - (r - cx) * sin(radians(back)) + cy, 6)) AS INTEGER)) AS y3 FROM b""")
+def region_min_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).withColumn("angle", F.col("deg") - 90)
+    ends = [rows.select("page_id", "line_id", "cx", "cy", "angle", x.alias("x"), y.alias("y")) for x, y in ((F.col("x"), F.col("y")), (F.col("x") + F.col("w"), F.col("y") + F.col("h")))]
+    found = quads.min_rect(ends[0].unionByName(ends[1]), ["page_id", "line_id"])
+    return found.select("page_id", "line_id", F.col("quad")[0].x.alias("x1"), F.col("quad")[2].y.alias("y3"))

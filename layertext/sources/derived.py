@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from layertext.functions import geometry
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,6 +51,28 @@ CASE WHEN l_suppkey % 4 = 0 THEN 60 + CAST(l_quantity AS INTEGER) ELSE 14 + CAST
 0.2::DOUBLE + l_discount * 5 AS prob, 'T' || l_partkey AS txt, CAST(l_partkey % 256 AS INTEGER) AS fg, CAST(l_suppkey % 256 AS INTEGER) AS bg, 90 + (l_discount - 0.05::DOUBLE) * 100 AS deg FROM lineitem))"""
 
 
+def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines turned about their centres by deg - 90, as quads whose corners start anywhere."""
+    corners = []
+    for x, y in ((F.col("x"), F.col("y")), (F.col("x") + F.col("w"), F.col("y")), (F.col("x") + F.col("w"), F.col("y") + F.col("h")), (F.col("x"), F.col("y") + F.col("h"))):
+        turned = geometry.rotated(x, y, F.col("cx"), F.col("cy"), F.col("deg") - 90)
+        corners.append(F.struct(*[F.floor(F.round(c, 6) + 0.5).cast("int").alias(n) for n, c in zip("xy", turned, strict=True)]))
+    start = F.col("line_id") % 4
+    quad = F.array(*corners)
+    return lines(spark, sf_dir).select("page_id", "line_id", F.concat(F.slice(quad, start + 1, F.lit(4)), F.slice(quad, F.lit(1), start)).alias("quad"))
+
+
+_TURNED = "list_transform([[x, y], [x + w, y], [x + w, y + h], [x, y + h]], lambda c: CAST(floor(round({}, 6) + 0.5) AS INTEGER))"
+_SIN, _COS = "sin(radians(deg - 90))", "cos(radians(deg - 90))"
+#: The measures of the quads; corners from the top left on, which turning by 5 degrees at most leaves in their order.
+QUADS = f"""{LINES}, q AS (SELECT page_id, line_id, h > w AS vertical, {_TURNED.format(f"(c[2] - cy) * {_SIN} + (c[1] - cx) * {_COS} + cx")} AS px, {_TURNED.format(f"(c[2] - cy) * {_COS} - (c[1] - cx) * {_SIN} + cy")} AS py FROM lines),
+mid AS (SELECT *, trunc((px[3] + px[4]) / 2) - trunc((px[1] + px[2]) / 2) AS dx, trunc((py[3] + py[4]) / 2) - trunc((py[1] + py[2]) / 2) AS dy, trunc((px[4] + px[1]) / 2) - trunc((px[2] + px[3]) / 2) AS ox, trunc((py[4] + py[1]) / 2) - trunc((py[2] + py[3]) / 2) AS oy FROM q),
+len AS (SELECT *, sqrt(dx * dx + dy * dy) AS dl, sqrt(ox * ox + oy * oy) AS ol FROM mid),
+quads AS (SELECT *, ol / dl AS ratio, least(ol, dl) AS fs, acos(dx / dl) % pi() AS angle, least(abs(dx) / dl, abs(dy) / dl, abs(ox) / ol, abs(oy) / ol) < 0.05 AS upright,
+abs(px[1] * py[2] - px[2] * py[1] + px[2] * py[3] - px[3] * py[2] + px[3] * py[4] - px[4] * py[3] + px[4] * py[1] - px[1] * py[4]) / 2 AS area,
+list_min(px) AS x, list_min(py) AS y, list_max(px) - list_min(px) AS w, list_max(py) - list_min(py) AS h FROM len)"""
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 x 8 maps of probabilities as 0..255 from the embeddings."""
     cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
