@@ -15,7 +15,10 @@ def segmented(pixels: DataFrame, threshold: int = 127) -> DataFrame:
 
 
 def label(mask: np.ndarray) -> np.ndarray:
-    """8-connected components of a mask, each named by its least flat index; -1 elsewhere."""
+    """8-connected components of a mask, each named by its least flat index; -1 elsewhere.
+
+    Every step takes the neighbours' least name and then that cell's own name, so names travel ever further.
+    """
     h, w = mask.shape
     out = np.where(mask, np.arange(h * w).reshape(h, w), -1)
     while True:
@@ -23,6 +26,7 @@ def label(mask: np.ndarray) -> np.ndarray:
         grid[1:-1, 1:-1] = np.where(mask, out, h * w)
         least = np.min([grid[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
         new = np.where(mask, least, -1)
+        new[mask] = new.ravel()[new[mask]]
         if (new == out).all():
             return out
         out = new
