@@ -294,6 +294,13 @@ def spacing_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", text.shown(fixed, F.substring("text", 1, 40)).alias("shown"), (F.trim("text") == "").alias("blank"))
 
 
+@query("SELECT conv_id, turn, sha256(CASE WHEN role = 'user' AND length(text) % 2 = 0 THEN reverse(text) ELSE text END) AS digest, trim(text) = '' AS blank FROM conversations")
+def spacing_gate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    fixed = F.when((F.col("role") == "user") & (F.length("text") % 2 == 0), F.reverse("text")).otherwise(F.lit(""))
+    return rows.select("conv_id", "turn", F.sha2(text.shown(fixed, F.col("text")), 256).alias("digest"), (F.trim("text") == "").alias("blank"))
+
+
 @query("SELECT doc_id, CAST(greatest(ceil(length(text) / 40), 1) AS INTEGER) AS n_lines, substr(text, 41, 40) AS second FROM documents")
 def text_wrap_mono(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrapped = text.wrapped(F.col("text"), 40)

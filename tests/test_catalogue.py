@@ -82,3 +82,12 @@ def test_beam_search_equals_brute_force(spark):
     rows = [(v, s, t, g) for v, steps in data.items() for s, step in enumerate(steps) for t, g in step.items()]
     out = beam.search(spark.createDataFrame(rows, "vec_id long, step int, tok int, lg long")).collect()
     assert {r.vec_id: (r.tokens, r.score, r.ended) for r in out} == {v: brute_beam(s, 5) for v, s in data.items()}
+
+
+def test_spacing_gate_whole_sees_what_lies_behind_40_characters(spark, tmp_path):
+    turns = lambda end: [(1, 0, "user", "x" * 41 + end), (1, 1, "assistant", "x" * 50 + end)]
+    out = []
+    for end in "ab":
+        spark.createDataFrame(turns(end), "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/{end}/conversations.parquet")
+        out.append({r.digest for r in catalogue.QUERIES["spacing_gate_whole"](spark, f"{tmp_path}/{end}").collect()})
+    assert len(out[0]) == 2 and not out[0] & out[1]
