@@ -287,6 +287,12 @@ def script_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("i", "lang", F.col("t").rlike(text.RTL).alias("rtl"), text.is_korean(F.col("t"), F.col("lang")).alias("korean"))
 
 
+@query(r"SELECT doc_id, lang, regexp_matches(coalesce(text, ''), '[\x{0590}-\x{05FF}\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}\x{0700}-\x{074F}]') AS rtl, CASE WHEN lang = 'ko' THEN true WHEN coalesce(lang, '') <> '' THEN false ELSE regexp_matches(coalesce(text, ''), '[\x{AC00}-\x{D7AF}\x{3131}-\x{3163}]') END AS korean FROM documents")
+def script_flags_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", t.rlike(text.RTL).alias("rtl"), text.is_korean(t, F.col("lang")).alias("korean"))
+
+
 @query("SELECT conv_id, turn, CASE WHEN role = 'user' AND length(text) % 2 = 0 THEN reverse(left(text, 40)) ELSE left(text, 40) END AS shown, trim(text) = '' AS blank FROM conversations")
 def spacing_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")

@@ -91,3 +91,10 @@ def test_spacing_gate_whole_sees_what_lies_behind_40_characters(spark, tmp_path)
         spark.createDataFrame(turns(end), "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/{end}/conversations.parquet")
         out.append({r.digest for r in catalogue.QUERIES["spacing_gate_whole"](spark, f"{tmp_path}/{end}").collect()})
     assert len(out[0]) == 2 and not out[0] & out[1]
+
+
+def test_script_flags_judge_documents(spark, tmp_path):
+    rows = [(1, "word שלום", "en"), (2, "word 한국어", None), (3, "한국어", "en"), (4, None, "ko"), (5, "plain", "")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.rtl, r.korean) for r in catalogue.QUERIES["script_flags_documents"](spark, str(tmp_path)).collect()}
+    assert found == {1: (True, False), 2: (False, True), 3: (False, False), 4: (False, True), 5: (False, False)}
