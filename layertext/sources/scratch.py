@@ -3,21 +3,69 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_local: dict[str, str] = {}
+_scopes = threading.local()
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; where it names none, a local one on a local master.
+
+    On a cluster executors don't see each other's local folders, so there a missing name is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = tempfile.mkdtemp(prefix="layertext-")
+    return _local[context.applicationId]
+
+
+def _open_scopes() -> list[list[str]]:
+    if not hasattr(_scopes, "paths"):
+        _scopes.paths = []
+    return _scopes.paths
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing else uses; result() deletes what is there once its own table is written."""
+    path = f"{folder(spark)}/layertext/{name}-{uuid.uuid4().hex}"
+    for paths in _open_scopes()[-1:]:
+        paths.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once: written under spark.checkpoint.dir and read back, so that a lost executor costs no more than a read.
+    """df, computed once: written to the shared folder and read back, so that a lost executor costs no more than a read.
 
-    A local folder is made only where the session names none.  The tables may be deleted when the session ends.
+    The table stays until result(), if it is open, or whoever owns the folder deletes it.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="layertext-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/layertext/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def result(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Write what build() returns and delete the tables that were written on the way: only the result stays on disk.
+
+    build() must not hand out tables in any other way, as they are gone afterwards.
+    """
+    path = new_path(spark, name)
+    _open_scopes().append([])
+    try:
+        df = build()
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for done in _open_scopes().pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(done)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return spark.read.schema(df.schema).parquet(path)
