@@ -2,20 +2,51 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The image extensions, and the ranges of right-to-left and Hangul characters.
 EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp", ".bmp", ".tiff")
-RTL = "[\\u0590-\\u05FF\\u0600-\\u06FF\\u0750-\\u077F\\u08A0-\\u08FF\\uFB50-\\uFDFF\\uFE70-\\uFEFF\\u0700-\\u074F]"
-HANGUL = "[\\uAC00-\\uD7AF\\u3131-\\u3163]"
-NOT_VALUABLE = "[\\p{P}\\p{Zs}\\p{Cc}\\p{Cf}\\p{Nd}\\x24\\x2B\\x3C\\x3D\\x3E\\x5E\\x60\\x7C\\x7E]"
+RTL_RANGES = ((0x0600, 0x06FF), (0x0750, 0x077F), (0x08A0, 0x08FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF), (0x10E60, 0x10E7F), (0x1EE00, 0x1EEFF))
+HANGUL_RANGES = ((0xAC00, 0xD7AF), (0x3131, 0x3163))
+#: Scripts that tell a language, the more telling ones last: Han, kana and Hangul may stand in one text.
+SCRIPTS = (("\\p{IsGreek}", "el"), ("\\p{IsCyrillic}", "ru"), ("\\p{IsHebrew}", "he"), ("\\p{IsArabic}", "ar"), ("\\p{IsThai}", "th"), ("\\p{IsHan}", "zh"), ("[\\p{IsHiragana}\\p{IsKatakana}]", "ja"), ("\\p{IsHangul}", "ko"))
+#: Symbols of ASCII that are no punctuation in Unicode and have no value for a text either.
+SYMBOLS = "$+<=>^`|~"
+
+
+def ranges(pairs: Iterable[tuple[int, int]]) -> str:
+    """A class of characters, as Java's and DuckDB's patterns write it."""
+    return "[" + "".join(f"\\x{{{a:04X}}}" + (f"-\\x{{{b:04X}}}" if b > a else "") for a, b in pairs) + "]"
+
+
+def _digits() -> list[tuple[int, int]]:
+    """Runs of the characters that are digits without being decimal numbers: superscripts, circled digits and the like."""
+    out: list[tuple[int, int]] = []
+    for i in range(sys.maxunicode + 1):
+        if chr(i).isdigit() and unicodedata.category(chr(i)) != "Nd":
+            if out and out[-1][1] == i - 1:
+                out[-1] = (out[-1][0], i)
+            else:
+                out.append((i, i))
+    return out
+
+
+RTL, HANGUL = ranges(RTL_RANGES), ranges(HANGUL_RANGES)
+NOT_VALUABLE = "[\\p{P}\\p{Zs}\\p{Cc}\\p{Cf}\\p{Nd}" + "".join(f"\\{c}" for c in SYMBOLS) + ranges(_digits())[1:]
 
 
 def natural_key(name: Column) -> Column:
-    """Lower case with runs of digits padded, so that it sorts as numbers do."""
+    """Lower case, in which a run of digits stands after its length and without leading zeros, so that it sorts as its number
+    does however long it is; every other run ends with U+0001, so that the shorter of two sorts first."""
     parts = F.regexp_extract_all(F.lower(name), F.lit("(\\d+|\\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^\\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    number = lambda p: F.regexp_replace(p, "^0+", "")
+    keyed = F.transform(parts, lambda p: F.when(p.rlike("^\\d"), F.concat(F.lpad(F.length(number(p)).cast("string"), 10, "0"), number(p))).otherwise(F.concat(p, F.lit("\x01"))))
+    return F.concat(F.when(name.rlike("^\\d"), F.lit("\x01")).otherwise(F.lit("")), F.array_join(keyed, ""))
 
 
 def file_name(url: Column) -> Column:
@@ -57,6 +88,22 @@ def is_korean(text: Column, lang: Column) -> Column:
     return F.when(lang == "ko", True).when(F.coalesce(lang, F.lit("")) != "", False).otherwise(text.rlike(HANGUL))
 
 
+def script_language(text: Column) -> Column:
+    """A guess of the language by the script of the letters, empty where there are none; Latin letters count as English.
+
+    It stands for a trained classifier, of which none can be had here.
+    """
+    out = F.when(text.rlike("[A-Za-z\\x{00C0}-\\x{024F}]"), "en").otherwise("")
+    for pattern, lang in SCRIPTS:
+        out = F.when(text.rlike(pattern), lang).otherwise(out)
+    return out
+
+
+def corrected(text: Column, lang: Column, correct: Callable[[Column, Column], Column]) -> Column:
+    """Korean texts with their spacing corrected; blank ones and those of other languages as they are."""
+    return F.when(is_korean(text, lang) & text.rlike("(?U)\\S"), correct(text, lang)).otherwise(text)
+
+
 def shown(corrected: Column, text: Column) -> Column:
     return F.coalesce(F.nullif(corrected, F.lit("")), text)
 

@@ -22,39 +22,61 @@ def _roots(n: int, us: list[int], vs: list[int]) -> list[int]:
     return [top(i) for i in range(n)]
 
 
-def components(lines: DataFrame, edges: DataFrame) -> DataFrame:
-    """(page_id, line_id, comp): the least line_id of each line's component; lines without edges are their own."""
+def labelled(lines: DataFrame, edges: DataFrame) -> DataFrame:
+    """lines with comp: the least line_id of each line's component; lines without edges are their own.
+
+    The lines of a page are one row, so what follows by page needs no shuffle of its own.
+    """
 
     @F.pandas_udf("array<int>")
     def label(n: pd.Series, us: pd.Series, vs: pd.Series) -> pd.Series:
         return pd.Series([_roots(a, [] if u is None else list(u), [] if v is None else list(v)) for a, u, v in zip(n, us, vs, strict=True)])
 
-    pages = lines.groupBy("page_id").agg((F.max("line_id") + 1).alias("n"))
+    others = [c for c in lines.columns if c not in ("page_id", "line_id")]
+    pages = lines.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("line_id", *others))).alias("m"))
     pairs = edges.groupBy("page_id").agg(F.collect_list(F.struct("u", "v")).alias("e"))
-    linked = pages.join(pairs, "page_id", "left").select("page_id", label("n", F.col("e.u"), F.col("e.v")).alias("roots"))
-    return linked.select("page_id", F.posexplode("roots").alias("line_id", "comp"))
+    linked = pages.join(pairs, "page_id", "left").select("page_id", "m", label(F.array_max("m.line_id") + 1, F.col("e.u"), F.col("e.v")).alias("roots"))
+    rows = linked.select("page_id", "roots", F.explode("m").alias("l"))
+    return rows.select("page_id", "l.*", F.get("roots", F.col("l.line_id")).alias("comp"))
+
+
+def components(lines: DataFrame, edges: DataFrame) -> DataFrame:
+    """(page_id, line_id, comp): the least line_id of each line's component; lines without edges are their own."""
+    return labelled(lines.select("page_id", "line_id"), edges)
+
 
+def tree(dist: np.ndarray, nodes: list[int]) -> list[tuple[float, int, int]]:
+    """The edges (distance, from, to) of the minimum spanning tree of the nodes; of a pair dist[first, second] counts."""
+    both = np.minimum(np.triu(dist, 1) + np.triu(dist, 1).T, np.inf)[np.ix_(nodes, nodes)]
+    best, near, out = both[0].copy(), np.zeros(len(nodes), int), []
+    best[0] = np.inf
+    inside = np.zeros(len(nodes), bool)
+    inside[0] = True
+    for _ in range(len(nodes) - 1):
+        v = int(np.argmin(np.where(inside, np.inf, best)))
+        out.append((float(best[v]), nodes[near[v]], nodes[v]))
+        inside[v] = True
+        closer = both[v] < best
+        best, near = np.where(closer, both[v], best), np.where(closer, v, near)
+    return out
 
-def split(dist: np.ndarray, touch: np.ndarray, fs: np.ndarray, cx: np.ndarray, cy: np.ndarray, gamma: float = 0.5, sigma: float = 2.0) -> list[list[int]]:
-    """Groups of a component's upright lines: the longest edges of the minimum spanning tree are cut while they stand out."""
+
+def split(dist: np.ndarray, touch: np.ndarray, fs: np.ndarray, cx: np.ndarray, cy: np.ndarray, angle: np.ndarray | None = None, gamma: float = 0.5, sigma: float = 2.0) -> list[list[int]]:
+    """Groups of a component's lines: the longest edges of the minimum spanning tree are cut while they stand out.
+
+    Two lines stay together if they are near and their angles, in degrees, differ by less than 36.
+    """
 
     def part(nodes: list[int]) -> list[list[int]]:
         if len(nodes) == 1:
             return [nodes]
         if len(nodes) == 2:
             a, b = nodes
-            return [nodes] if dist[a, b] < (1 + gamma) * max(fs[a], fs[b]) else [[a], [b]]
-        inside, tree = {nodes[0]}, []
-        best = {v: (dist[min(nodes[0], v), max(nodes[0], v)], nodes[0]) for v in nodes[1:]}
-        while best:
-            v = min(best, key=lambda k: (best[k][0], k))
-            d, u = best.pop(v)
-            tree.append((d, u, v))
-            inside.add(v)
-            for k in best:
-                best[k] = min(best[k], (dist[min(k, v), max(k, v)], v))
-        ds = np.array([t[0] for t in tree])
-        d, u, v = max(tree)
+            alike = angle is None or abs(angle[a] - angle[b]) < 36
+            return [nodes] if alike and dist[a, b] < (1 + gamma) * max(fs[a], fs[b]) else [[a], [b]]
+        edges = tree(dist, nodes)
+        ds = np.array([t[0] for t in edges])
+        d, u, v = max(edges)
         font = fs[nodes].mean()
         spread = ds.std()
         near = abs(cx[u] - cx[v]) < 5 or abs(cy[u] - cy[v]) < 5
@@ -63,7 +85,7 @@ def split(dist: np.ndarray, touch: np.ndarray, fs: np.ndarray, cx: np.ndarray, c
         side, grown = {u}, True
         while grown:
             grown = False
-            for e, a, b in tree:
+            for e, a, b in edges:
                 if (e, a, b) != (d, u, v) and (a in side) != (b in side):
                     side |= {a, b}
                     grown = True
@@ -72,46 +94,66 @@ def split(dist: np.ndarray, touch: np.ndarray, fs: np.ndarray, cx: np.ndarray, c
     return part(list(range(len(fs))))
 
 
-def split_components(lines: DataFrame, comps: DataFrame) -> DataFrame:
-    """(page_id, line_id, region): components after splitting; a region is named by its least line_id."""
+def split_components(rows: DataFrame) -> DataFrame:
+    """rows of lines with comp, with region: their component after splitting, named by its least line_id.
+
+    deg, the lines' angles, is optional.  The lines of a component are one row.
+    """
+    others = [c for c in rows.columns if c not in ("page_id", "comp", "line_id")]
+    turned = "deg" in others
 
     @F.pandas_udf("array<int>")
-    def label(ids: pd.Series, xs: pd.Series, ys: pd.Series, ws: pd.Series, hs: pd.Series) -> pd.Series:
+    def label(ids: pd.Series, xs: pd.Series, ys: pd.Series, ws: pd.Series, hs: pd.Series, degs: pd.Series) -> pd.Series:
         out = []
-        for i, x, y, w, h in zip(ids, xs, ys, ws, hs, strict=True):
+        for i, x, y, w, h, deg in zip(ids, xs, ys, ws, hs, degs, strict=True):
+            if len(i) == 1:
+                out.append([int(i[0])])
+                continue
             x, y, w, h = (np.asarray(c, float) for c in (x, y, w, h))
-            n = len(x)
-            dist, touch = np.zeros((n, n)), np.zeros((n, n), bool)
-            for a in range(n):
-                for b in range(n):
-                    if a != b:
-                        dist[a, b] = _pattern(x, y, w, h, a, b)
-                        dx, dy = max(0, x[b] - x[a] - w[a], x[a] - x[b] - w[b]), max(0, y[b] - y[a] - h[a], y[a] - y[b] - h[b])
-                        touch[a, b] = dx == dy == 0
-            name = np.zeros(n, int)
-            for group in split(dist, touch, np.minimum(w, h), x + w / 2, y + h / 2):
+            name = np.zeros(len(x), int)
+            for group in split(pattern_distances(x, y, w, h), touching(x, y, w, h), np.minimum(w, h), x + w / 2, y + h / 2, np.asarray(deg, float) if turned else None):
                 name[group] = min(int(i[g]) for g in group)
             out.append([int(k) for k in name])
         return pd.Series(out)
 
-    rows = lines.join(comps, ["page_id", "line_id"]).groupBy("page_id", "comp").agg(F.sort_array(F.collect_list(F.struct("line_id", "x", "y", "w", "h"))).alias("m"))
-    rows = rows.select("page_id", "m", label("m.line_id", "m.x", "m.y", "m.w", "m.h").alias("r"))
-    return rows.select("page_id", F.explode(F.arrays_zip(F.col("m.line_id").alias("line_id"), F.col("r").alias("region"))).alias("z")).select("page_id", "z.line_id", "z.region")
-
-
-def _pattern(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, a: int, b: int, rho: float = 0.5) -> float:
-    """functions.geometry.pattern_distance for one pair."""
-    fs = min(w[a], h[a], w[b], h[b])
-    if w[a] > h[a]:
-        high = (h[a] + h[b]) / 2
-        gaps = [x[a] - x[b], x[a] + w[a] - x[b] - w[b], np.floor(x[a] + w[a] / 2) - np.floor(x[b] + w[b] / 2)]
-        left, right, middle = (high * abs(g) / fs for g in gaps)
-        pick = 1 if right < fs * rho and right < left else 0
-        if middle < fs * rho and middle < left and middle < right:
-            pick = 2
-        return float(np.hypot(gaps[pick], y[a] - y[b]))
-    wide = (w[a] + w[b]) / 2
-    top, bottom = wide * abs(y[a] - y[b]) / fs, wide * abs(y[a] + h[a] - y[b] - h[b]) / fs
-    if bottom < fs * rho and bottom < top:
-        return float(np.hypot(x[a] + w[a] - x[b] - w[b], y[a] + h[a] - y[b] - h[b]))
-    return float(np.hypot(x[a] - x[b], y[a] - y[b]))
+    found = rows.groupBy("page_id", "comp").agg(F.sort_array(F.collect_list(F.struct("line_id", *others))).alias("m"))
+    found = found.select("page_id", "comp", "m", label("m.line_id", "m.x", "m.y", "m.w", "m.h", "m.deg" if turned else "m.x").alias("r"))
+    return found.select("page_id", "comp", F.explode(F.arrays_zip(F.col("m").alias("l"), F.col("r").alias("region"))).alias("z")).select("page_id", "comp", "z.l.*", "z.region")
+
+
+def tree_stats(rows: DataFrame) -> DataFrame:
+    """(page_id, comp, n, mean_far, std_far): the edges of the minimum spanning tree of each component of several lines."""
+
+    @F.pandas_udf("struct<n:int,mean:double,std:double>")
+    def stats(xs: pd.Series, ys: pd.Series, ws: pd.Series, hs: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y, w, h in zip(xs, ys, ws, hs, strict=True):
+            far = np.array([e[0] for e in tree(pattern_distances(*(np.asarray(c, float) for c in (x, y, w, h))), list(range(len(x))))])
+            out.append((len(far), far.mean(), far.std()))
+        return pd.DataFrame(out, columns=["n", "mean", "std"])
+
+    found = rows.groupBy("page_id", "comp").agg(F.sort_array(F.collect_list(F.struct("line_id", "x", "y", "w", "h"))).alias("m")).where(F.size("m") > 1)
+    found = found.select("page_id", "comp", stats("m.x", "m.y", "m.w", "m.h").alias("s"))
+    return found.select("page_id", "comp", "s.n", F.round("s.mean", 6).alias("mean_far"), F.round("s.std", 6).alias("std_far"))
+
+
+def touching(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """[n, n]: whether two boxes touch or overlap."""
+    apart = lambda at, size: (at[None, :] - at[:, None] - size[:, None] > 0) | (at[:, None] - at[None, :] - size[None, :] > 0)
+    return ~apart(x, w) & ~apart(y, h)
+
+
+def pattern_distances(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, rho: float = 0.5) -> np.ndarray:
+    """[n, n]: functions.geometry.pattern_distance of each box to each other one."""
+    off = lambda v: v[:, None] - v[None, :]
+    mean = lambda v: (v[:, None] + v[None, :]) / 2
+    thin = np.minimum(w, h)
+    fs = np.minimum(thin[:, None], thin[None, :])
+    starts, ends, middles = off(x), off(x + w), off(np.floor(x + w / 2))
+    left, right, middle = (mean(h) * np.abs(g) / fs for g in (starts, ends, middles))
+    across = np.where((right < fs * rho) & (right < left), ends, starts)
+    across = np.where((middle < fs * rho) & (middle < left) & (middle < right), middles, across)
+    top, bottom = mean(w) * np.abs(off(y)) / fs, mean(w) * np.abs(off(y + h)) / fs
+    low = (bottom < fs * rho) & (bottom < top)
+    down = np.where(low, np.hypot(ends, off(y + h)), np.hypot(starts, off(y)))
+    return np.where((w > h)[:, None], np.hypot(across, off(y)), down)

@@ -11,7 +11,7 @@ from itertools import islice
 
 import numpy as np
 
-from layertext.operators.raster import label
+from layertext.operators.raster import label, owner
 
 
 def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -216,8 +216,7 @@ def parts(mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def line_mask(mask: np.ndarray, lines: list[tuple[int, int, int, int]], offset: int = 20, kernel: int = 3) -> np.ndarray:
     """The mask's parts that belong to lines (x, y, w, h), each line's share grown with its text size; boolean.
 
-    The lines' frames cut the mask first.  A part over 9 pixels and smaller than its line goes to the line that it
-    overlaps most by its share of the smaller area, else to the nearest within half the text size; ties to the first.
+    The lines' frames cut the mask first.  A part over 9 pixels goes to the line that raster.owner() gives it.
     """
     cut = mask.astype(bool).copy()
     height, width = cut.shape
@@ -234,18 +233,9 @@ def line_mask(mask: np.ndarray, lines: list[tuple[int, int, int, int]], offset:
         area, x, y, w, h = len(xs), int(xs.min()), int(ys.min()), int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1
         if area <= 9 or not len(box):
             continue
-        end = box[:, :2] + box[:, 2:]
-        inside = np.clip(np.minimum(end, [x + w, y + h]) - np.maximum(box[:, :2], [x, y]), 0, None).prod(1)
-        share = inside / np.minimum(area, np.maximum(box[:, 2:].prod(1), 1))
-        line = int(np.argmax(share))
-        if area >= box[line, 2:].prod():
+        line = owner(area, (x, y, w, h), box)
+        if line < 0:
             continue
-        if share[line] <= 0.01:
-            centre = np.array([x + w / 2, y + h / 2])
-            far = np.hypot(*np.maximum(0, np.maximum(box[:, :2] - centre, centre - end)).T)
-            line = int(np.argmin(far))
-            if far[line] >= 0.5 * max(min(box[line, 2:].min(), w, h), 10):
-                continue
         shares.setdefault(line, []).append((ys, xs))
     out = np.zeros_like(cut)
     for line, own in shares.items():

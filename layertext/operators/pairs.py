@@ -28,14 +28,21 @@ MERGE = Nearness(gap=1, edge=3, font=2, aspect=1.3)
 READ = Nearness(aspect=1)
 
 
-def page_pairs(lines: DataFrame) -> DataFrame:
-    """All pairs u < v of a page as columns u, v, a_* and b_*, with their gap and the smaller font.
+def paired(lines: DataFrame, kept: tuple[str, ...] = _KEPT) -> DataFrame:
+    """page_id, a_* and b_* of all pairs of lines of a page, a's line_id below b's.
 
-    The join is on the page, so a page's lines meet in one task and pages are dealt out.
+    A page's lines become one row, which meets itself: the lines are dealt out by page once, and what follows by page needs
+    no other shuffle.  An image's lines are some thousands at most; grid_edges() is for pages of more.
     """
-    a = lines.select("page_id", *[F.col(c).alias(f"a_{c}") for c in _KEPT])
-    b = lines.select("page_id", *[F.col(c).alias(f"b_{c}") for c in _KEPT])
-    pairs = a.join(b, "page_id").where("a_line_id < b_line_id")
+    pages = lines.groupBy("page_id").agg(F.collect_list(F.struct("line_id", *[c for c in kept if c != "line_id"])).alias("m"))
+    a = pages.select("page_id", "m", F.explode("m").alias("a"))
+    both = a.select("page_id", "a", F.explode(F.filter("m", lambda b: b["line_id"] > F.col("a.line_id"))).alias("b"))
+    return both.select("page_id", *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in kept])
+
+
+def page_pairs(lines: DataFrame, *others: str) -> DataFrame:
+    """All pairs u < v of a page as columns u, v, a_* and b_*, with their gap and the smaller font; others: more columns."""
+    pairs = paired(lines, (*_KEPT, *others))
     return pairs.withColumns({"u": F.col("a_line_id"), "v": F.col("b_line_id"), "gap": geometry.gap("a", "b"), "fs": F.least("a_fs", "b_fs")})
 
 
@@ -66,9 +73,10 @@ def edges(lines: DataFrame, n: Nearness) -> DataFrame:
     return page_pairs(lines).where(near(n)).where(aligned(n)).select("page_id", "u", "v")
 
 
-def coarse_edges(lines: DataFrame, discard: float = 2, font: float = 0.7) -> DataFrame:
-    fits = (F.col("a_direction") == F.col("b_direction")) & (F.abs(F.col("a_fs") - F.col("b_fs")) / F.col("fs") <= font)
-    return page_pairs(lines).where(fits & (F.col("gap") <= discard * F.greatest("a_fs", "b_fs"))).select("page_id", "u", "v")
+def coarse_edges(lines: DataFrame, discard: float = 2, font: float = 0.7, turn: float = 15) -> DataFrame:
+    """Pairs of lines of one direction whose angles (deg) and fonts differ little and whose gap is within the larger font's reach."""
+    fits = (F.col("a_direction") == F.col("b_direction")) & (F.abs(F.col("a_fs") - F.col("b_fs")) / F.col("fs") <= font) & (F.abs(F.col("a_deg") - F.col("b_deg")) <= turn)
+    return page_pairs(lines, "deg").where(fits & (F.col("gap") <= discard * F.greatest("a_fs", "b_fs"))).select("page_id", "u", "v")
 
 
 def grid_edges(lines: DataFrame, n: Nearness, cell: int = 64) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from layertext.functions import geometry
-from layertext.operators.pairs import Nearness, aligned
+from layertext.operators.pairs import Nearness, aligned, paired
 
 #: Lines within this cosine of an axis count as upright; turned lines join within this angle and font difference.
 UPRIGHT, ANGLE, FONT = 0.05, math.radians(15), 0.25
@@ -109,8 +109,7 @@ def near_pairs(quads: DataFrame, reach: float) -> DataFrame:
     quads: page_id, line_id and the columns of measured().  The boxes' distance, never above the quads', goes first.
     """
     kept = ("quad", "ratio", "fs", "angle", "upright", "x", "y", "w", "h", "line_id")
-    a, b = (quads.select("page_id", *[F.col(c).alias(f"{p}_{c}") for c in kept]) for p in "ab")
-    rows = a.join(b, "page_id").where("a_line_id < b_line_id").withColumn("fs", F.least("a_fs", "b_fs"))
+    rows = paired(quads, kept).withColumn("fs", F.least("a_fs", "b_fs"))
     rows = rows.where(geometry.gap("a", "b") <= F.col("fs") * reach)
     flat = [F.flatten(F.transform(f"{p}_quad", lambda c: F.array(c.x, c.y))) for p in "ab"]
     rows = rows.withColumns({"u": F.col("a_line_id"), "v": F.col("b_line_id"), "gap": F.pandas_udf(_gaps, "double")(*flat)})

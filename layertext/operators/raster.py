@@ -56,29 +56,57 @@ def box_scores(pixels: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def composite(pixels: DataFrame, threshold: int = 127) -> DataFrame:
-    """Each map over the next one by id: the next one's pixel where the mask is set."""
-    a = pixels.select("vec_id", "py", "px", "p")
-    b = pixels.select((F.col("vec_id") - 1).alias("vec_id"), "py", "px", F.col("p").alias("q"))
-    mask = (F.col("p") > threshold).cast("int")
-    return a.join(b, ["vec_id", "py", "px"]).groupBy("vec_id").agg(F.sum(F.col("q") * mask + F.col("p") * (1 - mask)).alias("total"), F.sum(mask).alias("masked"))
+    """Each map over the next one by id, the last over the first: the next one's pixel where the mask is set.
+
+    A map is one array, so maps are joined, not pixels.  Ids run from 0 on without gaps.
+    """
+    maps = pixels.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("py", "px", "p"))).alias("m")).select("vec_id", F.col("m.p").alias("p"))
+    count = maps.select(F.count("*").alias("n"))  # one row
+    after = maps.join(F.broadcast(count)).select(F.pmod(F.col("vec_id") - 1, "n").alias("vec_id"), F.col("p").alias("q"))
+    over = lambda p, q: F.when(p > threshold, q).otherwise(p)
+    total = F.aggregate(F.zip_with("p", "q", over), F.lit(0).cast("long"), lambda a, x: a + x)
+    return maps.join(after, "vec_id").select("vec_id", total.alias("total"), F.size(F.filter("p", lambda p: p > threshold)).cast("long").alias("masked"))
 
 
-def assigned(components: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Each component goes to the box it overlaps most by its share of the smaller area, else to the nearest centre if near.
+def owner(area: int, part: tuple[int, int, int, int], lines: np.ndarray, kept: float = 0.01) -> int:
+    """The line (x, y, w, h) that a part of a mask, of so many pixels in the box x, y, w, h, belongs to; -1 for none.
 
-    components: vec_id, comp, area, x, y, width, height.  boxes: vec_id, line_id, x, y, w, h.  Ties go to the first box.
+    It is the line that the part's box overlaps most by its share of the smaller area, if that is above `kept`, else the one
+    nearest to the box's middle, within half the text size; ties to the first.  Parts that are not smaller than the line
+    that they overlap most are none's.
     """
-    b = boxes.select("vec_id", "line_id", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("w").alias("bw"), F.col("h").alias("bh"))
-    rows = components.join(b, "vec_id")
-    dx = F.greatest(F.lit(0), F.least(F.col("x") + F.col("width"), F.col("bx") + F.col("bw")) - F.greatest("x", "bx"))
-    dy = F.greatest(F.lit(0), F.least(F.col("y") + F.col("height"), F.col("by") + F.col("bh")) - F.greatest("y", "by"))
-    share = (dx * dy) / F.least(F.col("width") * F.col("height"), F.col("bw") * F.col("bh"))
-    cx = F.col("x") + F.col("width") / 2 - F.col("bx") - F.col("bw") / 2
-    cy = F.col("y") + F.col("height") / 2 - F.col("by") - F.col("bh") / 2
-    reach = 0.5 * F.greatest(F.least("bw", "bh", "width", "height"), F.lit(10))
-    rows = rows.withColumns({"share": share, "far": F.sqrt(cx * cx + cy * cy), "reach": reach})
-    best = rows.groupBy("vec_id", "comp").agg(
-        F.min(F.struct((-F.round("share", 9)).alias("s"), "line_id")).alias("o"), F.min(F.struct(F.round("far", 9).alias("d"), "line_id", "reach")).alias("n")
-    )
-    line = F.when(F.col("o.s") < 0, F.col("o.line_id")).when(F.col("n.d") < F.col("n.reach"), F.col("n.line_id"))
-    return best.select("vec_id", "comp", line.alias("line_id"))
+    start, end = lines[:, :2], lines[:, :2] + lines[:, 2:]
+    low, high = np.array(part[:2]), np.array(part[:2]) + np.array(part[2:])
+    areas = lines[:, 2:].prod(1)
+    share = np.clip(np.minimum(end, high) - np.maximum(start, low), 0, None).prod(1) / np.minimum(area, np.maximum(areas, 1))
+    line = int(np.argmax(share))
+    if area >= areas[line]:
+        return -1
+    if share[line] > kept:
+        return line
+    middle = (low + high) / 2
+    far = np.hypot(*np.maximum(0, np.maximum(start - middle, middle - end)).T)
+    line = int(np.argmin(far))
+    return line if far[line] < 0.5 * max(min(lines[line, 2:].min(), *part[2:]), 10) else -1
+
+
+def assigned(components: DataFrame, boxes: DataFrame, least: int = 9) -> DataFrame:
+    """(vec_id, comp, line_id) of the components of more than `least` pixels: the box that each belongs to by owner(), or null.
+
+    components: vec_id, comp, area, x, y, width, height.  boxes: vec_id, line_id, x, y, w, h.
+    """
+    parts = components.where(F.col("area") > least).groupBy("vec_id").agg(F.collect_list(F.struct("comp", "area", "x", "y", "width", "height")).alias("c"))
+    lines = boxes.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("line_id", "x", "y", "w", "h"))).alias("b"))
+
+    @F.pandas_udf("array<int>")
+    def found(areas: pd.Series, xs: pd.Series, ys: pd.Series, ws: pd.Series, hs: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+        out = []
+        for a, *part, bx, by, bw, bh in zip(areas, xs, ys, ws, hs, x, y, w, h, strict=True):
+            box = np.stack([bx, by, bw, bh], 1).astype(float) if bx is not None and len(bx) else None
+            out.append([-1 if box is None else owner(int(k), tuple(int(v) for v in p), box) for k, *p in zip(a, *part, strict=True)])
+        return pd.Series(out)
+
+    rows = parts.join(lines, "vec_id", "left")
+    rows = rows.select("vec_id", "c", "b", found("c.area", "c.x", "c.y", "c.width", "c.height", "b.x", "b.y", "b.w", "b.h").alias("at"))
+    rows = rows.select("vec_id", "b", F.explode(F.arrays_zip(F.col("c.comp").alias("comp"), "at")).alias("z"))
+    return rows.select("vec_id", "z.comp", F.when(F.col("z.at") >= 0, F.get("b.line_id", F.col("z.at"))).alias("line_id"))

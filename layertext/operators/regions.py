@@ -10,73 +10,66 @@ from layertext.functions import text
 KEYS = ["page_id", "comp"]
 
 
-def majority(lines: DataFrame) -> DataFrame:
-    """(page_id, comp, dir): the most frequent direction; a tie goes to the line that is longest for its width, then the first."""
-    stretch = F.greatest(F.col("ar"), 1 / F.col("ar"))
-    counts = lines.groupBy(*KEYS).agg(
-        F.count_if(F.col("direction") == "h").alias("nh"),
-        F.count("*").alias("n"),
-        F.max(F.struct(F.round(stretch, 9), -F.col("line_id"), "direction")).alias("top"),
-    )
-    twice = F.col("nh") * 2
-    return counts.select(*KEYS, F.when(twice > F.col("n"), "h").when(twice < F.col("n"), "v").otherwise(F.col("top.direction")).alias("dir"))
-
-
-def first_majority(lines: DataFrame) -> DataFrame:
-    """As majority(), but a tie goes to the direction that comes first."""
-    counts = lines.groupBy(*KEYS).agg(F.count_if(F.col("direction") == "h").alias("nh"), F.count("*").alias("n"), F.min(F.struct("line_id", "direction")).alias("first"))
-    twice = F.col("nh") * 2
-    return counts.select(*KEYS, F.when(twice > F.col("n"), "h").when(twice < F.col("n"), "v").otherwise(F.col("first.direction")).alias("dir"))
-
-
-def read_key(direction: Column) -> Column:
-    """Lines of horizontal regions go down by their centres, those of vertical ones to the left."""
-    return F.when(direction == "h", F.col("cy")).otherwise(-F.col("cx"))
-
-
-def merged(lines: DataFrame) -> DataFrame:
-    """Bounding box, font size, number of lines and confidence; the confidence is weighted by the areas of the whole page."""
+def all_columns(lines: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """page_id, comp and every column of the regions that lines (with comp) make up, in one aggregation.
+
+    x, y, width, height; n_lines; font_size (the least); confidence (weighted by the areas of the whole page); dir (the most
+    frequent direction; a tie goes to the line that is longest for its width, then the first); text (the lines' texts in
+    reading order, joined); direction (`v` if the largest line, the first of equals, is higher than wide); angle (degrees off
+    upright; under 3 they count as none); fg and bg (mean colours of three channels, halves to the even neighbour).
+    names: only these, which spares the others' work; columns that lines lacks are left out.
+    """
     page = Window.partitionBy("page_id")
-    rows = lines.withColumn("page_area", F.sum("area").over(page))
-    out = rows.groupBy(*KEYS).agg(
-        F.min("x").alias("x"),
-        F.min("y").alias("y"),
-        F.max(F.col("x") + F.col("w")).alias("x2"),
-        F.max(F.col("y") + F.col("h")).alias("y2"),
-        F.count("*").alias("n_lines"),
-        F.min("fs").cast("int").alias("font_size"),
-        F.exp(F.sum(F.ln("prob") * F.col("area")) / F.first("page_area")).alias("confidence"),
-    )
-    return out.select(*KEYS, "x", "y", (F.col("x2") - F.col("x")).alias("width"), (F.col("y2") - F.col("y")).alias("height"), "n_lines", "font_size", F.round("confidence", 6).alias("confidence"))
-
-
-def colours(lines: DataFrame) -> DataFrame:
-    """Mean colours, halves to the even neighbour."""
-    return lines.groupBy(*KEYS).agg(F.bround(F.avg("fg")).cast("int").alias("fg"), F.bround(F.avg("bg")).cast("int").alias("bg"))
-
-
-def direction(lines: DataFrame) -> DataFrame:
-    """`v` if the largest line, the first of equals, is higher than wide."""
-    return lines.groupBy(*KEYS).agg(F.max_by("ar", F.struct("area", -F.col("line_id"))).alias("a")).select(*KEYS, F.when(F.col("a") < 1, "v").otherwise("h").alias("direction"))
-
-
-def angle(lines: DataFrame) -> DataFrame:
-    """Degrees off upright; under 3 they count as none."""
+    stretch = F.greatest(F.col("ar"), 1 / F.col("ar"))
     off = F.round(F.avg("deg") - 90, 6)
-    return lines.groupBy(*KEYS).agg(off.alias("a")).select(*KEYS, F.when(F.abs("a") < 3, 0.0).otherwise(F.col("a")).alias("angle"))
-
-
-def texts(lines: DataFrame) -> DataFrame:
-    """The lines' texts in reading order, joined."""
-    rows = lines.join(majority(lines), KEYS).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct(read_key(F.col("dir")).alias("k"), "line_id", "txt"))).alias("t"))
-    return rows.select(*KEYS, text.joined(F.col("t.txt")).alias("text"))
+    shade = lambda c: F.array(*[F.bround(F.avg(F.col(c)[i])).cast("int") for i in range(3)])
+    aggregates = {
+        "x": F.min("x"),
+        "y": F.min("y"),
+        "width": F.max(F.col("x") + F.col("w")) - F.min("x"),
+        "height": F.max(F.col("y") + F.col("h")) - F.min("y"),
+        "n_lines": F.count("*"),
+        "font_size": F.min("fs").cast("int"),
+        "confidence": F.round(F.exp(F.sum(F.ln("prob") * F.col("area")) / F.first("page_area")), 6),
+        "across": F.count_if(F.col("direction") == "h") * 2 - F.count("*"),
+        "longest": F.max(F.struct(F.round(stretch, 9), -F.col("line_id"), "direction"))["direction"],
+        "down_texts": F.sort_array(F.collect_list(F.struct(F.col("cy").alias("k"), "line_id", "txt")))["txt"],
+        "left_texts": F.sort_array(F.collect_list(F.struct((-F.col("cx")).alias("k"), "line_id", "txt")))["txt"],
+        "direction": F.when(F.max_by("ar", F.struct("area", -F.col("line_id"))) < 1, "v").otherwise("h"),
+        "angle": F.when(F.abs(off) < 3, 0.0).otherwise(off),
+        "fg": shade("fg"),
+        "bg": shade("bg"),
+    }
+    dir_ = F.when(F.col("across") > 0, "h").when(F.col("across") < 0, "v").otherwise(F.col("longest"))
+    derived = {"dir": (dir_, ["across", "longest"]), "text": (text.joined(F.when(dir_ == "h", F.col("down_texts")).otherwise(F.col("left_texts"))), ["across", "longest", "down_texts", "left_texts"])}
+    names = names or [n for n in (*aggregates, *derived) if n not in ("across", "longest", "down_texts", "left_texts")]
+    needed = {c for n in names for c in (derived[n][1] if n in derived else [n])}
+    if "confidence" in needed:
+        lines = lines.withColumn("page_area", F.sum("area").over(page))
+    out = lines.groupBy(*KEYS).agg(*[e.alias(n) for n, e in aggregates.items() if n in needed])
+    return out.select(*KEYS, *[derived[n][0].alias(n) if n in derived else n for n in names])
+
+
+def reading_order(lines: DataFrame) -> DataFrame:
+    """lines with comp, with dir (the most frequent direction of the group; a tie goes to the one that comes first) and place:
+    their order in reading.
+
+    Horizontal groups go down by the middles of their boxes, vertical ones to the left by the boxes' right edges.
+    """
+    group = Window.partitionBy(*KEYS)
+    nh, n = F.count_if(F.col("direction") == "h").over(group) * 2, F.count("*").over(group)
+    first = F.min(F.struct("line_id", "direction")).over(group)["direction"]
+    rows = lines.withColumn("dir", F.when(nh > n, "h").when(nh < n, "v").otherwise(first))
+    key = F.when(F.col("dir") == "h", F.col("y") + F.floor(F.col("h") / 2)).otherwise(-(F.col("x") + F.col("w")))
+    return rows.withColumn("place", F.row_number().over(group.orderBy(key, "line_id")))
 
 
 def documents(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """One JSON document a page, with its regions in order; pages without lines keep an empty list."""
-    region = merged(lines).join(texts(lines), KEYS).join(direction(lines), KEYS).join(angle(lines), KEYS).join(colours(lines), KEYS)
+    region = all_columns(lines, ["text", "x", "y", "width", "height", "angle", "font_size", "fg", "bg", "direction", "confidence"])
     box = F.struct("comp", "text", "x", "y", "width", "height", "angle", "font_size", "fg", "bg", "direction", F.lit("left").alias("alignment"), "confidence", F.lit(1.0).alias("line_spacing"), F.lit(1.0).alias("letter_spacing"))
     found = region.groupBy("page_id").agg(F.sort_array(F.collect_list(box)).alias("regions"))
     out = pages.select("page_id").join(found, "page_id", "left")
-    regions = F.transform("regions", lambda r: r.dropFields("comp"))
-    return out.select("page_id", F.greatest(F.coalesce(F.size("regions"), F.lit(0)), F.lit(0)).alias("n_regions"), F.to_json(F.struct("page_id", regions.alias("regions"))).alias("document"))
+    regions = F.transform(F.coalesce("regions", F.array().cast(found.schema["regions"].dataType)), lambda r: r.dropFields("comp"))
+    return out.select("page_id", F.size(regions).alias("n_regions"), F.to_json(F.struct("page_id", regions.alias("regions"))).alias("document"))
+

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from layertext.functions import geometry, text
-from layertext.operators import beam, graph, pairs, quads, raster, regions
-from layertext.sources import derived
+from layertext.operators import beam, graph, language, pairs, quads, raster, regions
+from layertext.plans import extraction
+from layertext.sources import derived, layered
 from layertext.sources.derived import LINES, LOGITS, PIXELS, QUADS, lines, logits, pixels, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +23,7 @@ ORACLES: dict[str, str] = {}
 # pairs of a page, and the tests of nearness, in SQL
 _GAP = "sqrt(greatest(0, b.x - a.x - a.w, a.x - b.x - b.w) ** 2 + greatest(0, b.y - a.y - a.h, a.y - b.y - b.h) ** 2)"
 PAIRS = f"""{LINES}, pairs AS (SELECT a.page_id, a.line_id AS u, b.line_id AS v, {_GAP} AS gap, least(a.fs, b.fs) AS fs, greatest(a.fs, b.fs) AS fs2, a.ar AS ar1, b.ar AS ar2,
-a.x AS x1, a.y AS y1, a.w AS w1, a.h AS h1, b.x AS x2, b.y AS y2, b.w AS w2, b.h AS h2, a.direction AS d1, b.direction AS d2 FROM lines a JOIN lines b ON a.page_id = b.page_id AND a.line_id < b.line_id)"""
+a.x AS x1, a.y AS y1, a.w AS w1, a.h AS h1, b.x AS x2, b.y AS y2, b.w AS w2, b.h AS h2, a.direction AS d1, b.direction AS d2, abs(a.deg - b.deg) AS turn FROM lines a JOIN lines b ON a.page_id = b.page_id AND a.line_id < b.line_id)"""
 
 
 def _near_sql(n: pairs.Nearness) -> str:
@@ -45,7 +49,7 @@ MERGED, READ = _comps_sql(pairs.MERGE), _comps_sql(pairs.READ)
 
 def with_components(spark: SparkSession, sf_dir: str, n: pairs.Nearness = pairs.MERGE) -> DataFrame:
     rows = lines(spark, sf_dir)
-    return rows.join(graph.components(rows, pairs.edges(rows, n)), ["page_id", "line_id"])
+    return graph.labelled(rows, pairs.edges(rows, n))
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -60,7 +64,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 @query(f"WITH RECURSIVE {MERGED} SELECT page_id, comp, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS width, max(y + h) - min(y) AS height, count(*) AS n_lines, min(fs) AS font_size, round(exp(sum(ln(prob) * area) / any_value(pa)), 6) AS confidence FROM (SELECT *, sum(area) OVER (PARTITION BY page_id) AS pa FROM m) GROUP BY 1, 2")
 def region_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.merged(with_components(spark, sf_dir))
+    return regions.all_columns(with_components(spark, sf_dir), ["x", "y", "width", "height", "n_lines", "font_size", "confidence"])
+
+
+@query(f"WITH RECURSIVE {MERGED} SELECT page_id, comp, round(exp(sum(ln(prob) * area) / any_value(pa)), 6) AS confidence FROM (SELECT *, sum(area) OVER (PARTITION BY page_id) AS pa FROM m) GROUP BY 1, 2")
+def region_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.all_columns(with_components(spark, sf_dir), ["confidence"])
 
 
 @query(f"WITH {LINES} SELECT page_id, line_id, x, y, w, h, fs, round(ar, 6) AS ar, direction, area, cx, cy FROM lines")
@@ -71,10 +80,16 @@ def lines_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAME = "regexp_extract(url, '/([^/?]+)[^/]*$', 1)"
 
 
-@query(f"SELECT page_id, coalesce(list_aggregate(list_transform(regexp_extract_all(lower({_NAME}), '\\d+|\\D+'), lambda p: CASE WHEN regexp_matches(p, '^\\d') THEN lpad(p, 20, '0') ELSE p END), 'string_agg', ''), '') AS natural_key, lower(regexp_extract({_NAME}, '(\\.[^./]+)$', 1)) IN ('.jpg', '.jpeg', '.png', '.webp', '.bmp', '.tiff') AS image FROM pages")
+# a run of digits stands after its length, every other run ends with U+0001
+_RUNS = r"list_transform(regexp_extract_all(lower({0}), '\d+|\D+'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(CAST(length(ltrim(p, '0')) AS VARCHAR), 10, '0') || ltrim(p, '0') ELSE p || chr(1) END)"
+_KEY = r"CASE WHEN regexp_matches({0}, '^\d') THEN chr(1) ELSE '' END || coalesce(list_aggregate(" + _RUNS + ", 'string_agg', ''), '')"
+
+
+@query(f"WITH n AS (SELECT page_id, {_NAME} AS name, regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder FROM pages) SELECT page_id, {_KEY.format('name')} AS natural_key, lower(regexp_extract(name, '(\\.[^./]+)$', 1)) IN {text.EXTENSIONS} AS image, CAST(row_number() OVER (PARTITION BY folder ORDER BY encode({_KEY.format('name')}), page_id) AS INTEGER) AS place FROM n")
 def image_listing_natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = text.file_name(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", text.natural_key(name).alias("natural_key"), text.is_image(name).alias("image"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^(.*)/[^/]*$", 1).alias("folder"), text.natural_key(name).alias("natural_key"), text.is_image(name).alias("image"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy("natural_key", "page_id"))).drop("folder")
 
 
 @query(f"SELECT page_id, {_NAME} AS name FROM pages")
@@ -87,6 +102,15 @@ def content_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
+@query(f"""WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM documents),
+c AS (SELECT lang, word, count(*) AS n FROM w WHERE lang IS NOT NULL GROUP BY 1, 2), p AS (SELECT lang AS guess, word FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM c) WHERE r <= {language.WORDS}),
+s AS (SELECT doc_id, guess, count(*) AS hits FROM w JOIN p USING (word) GROUP BY 1, 2), b AS (SELECT doc_id, guess FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, guess) AS r FROM s) WHERE r = 1)
+SELECT d.doc_id, d.lang, coalesce(b.guess, '') AS guess FROM documents d LEFT JOIN b USING (doc_id)""")
+def lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.guessed(docs, language.profiles(docs)).select("doc_id", "lang", "guess")
+
+
 @query(f"WITH {PAIRS} SELECT page_id, u, v FROM pairs WHERE {_near_sql(pairs.MERGE)}")
 def pair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.page_pairs(lines(spark, sf_dir)).where(pairs.near(pairs.MERGE)).select("page_id", "u", "v")
@@ -107,7 +131,7 @@ def pair_merge_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.edges(lines(spark, sf_dir), pairs.READ)
 
 
-@query(f"WITH {PAIRS} SELECT page_id, u, v FROM pairs WHERE d1 = d2 AND (fs2 - fs) / fs <= 0.7 AND gap <= 2 * fs2")
+@query(f"WITH {PAIRS} SELECT page_id, u, v FROM pairs WHERE d1 = d2 AND (fs2 - fs) / fs <= 0.7 AND turn <= 15 AND gap <= 2 * fs2")
 def pair_merge_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.coarse_edges(lines(spark, sf_dir))
 
@@ -127,10 +151,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT *, CASE WHEN nh * 2 > n THEN 'h' WHEN nh * 2 < n THEN 'v' ELSE f END AS dir FROM g)
 SELECT page_id, comp, line_id, dir, CAST(row_number() OVER (PARTITION BY page_id, comp ORDER BY CASE WHEN dir = 'h' THEN y + h // 2 ELSE -(x + w) END, line_id) AS INTEGER) AS place FROM d""")
 def ocr_direction_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_components(spark, sf_dir, pairs.READ)
-    rows = rows.join(regions.first_majority(rows), regions.KEYS)
-    key = F.when(F.col("dir") == "h", F.col("y") + F.floor(F.col("h") / 2)).otherwise(-(F.col("x") + F.col("w")))
-    return rows.select("page_id", "comp", "line_id", "dir", F.row_number().over(Window.partitionBy(*regions.KEYS).orderBy(key, "line_id")).alias("place"))
+    return regions.reading_order(with_components(spark, sf_dir, pairs.READ)).select("page_id", "comp", "line_id", "dir", "place")
 
 
 _PATTERN = """CASE WHEN d1 = 'h' THEN CASE WHEN mid < fs * 0.5 AND mid < lft AND mid < rgt THEN sqrt((x1 + w1 // 2 - x2 - w2 // 2) ** 2 + (y1 - y2) ** 2)
@@ -142,11 +163,8 @@ areas AS (SELECT *, (h1 + h2) / 2 * abs(x1 - x2) / fs AS lft, (h1 + h2) / 2 * ab
 
 
 def _inside(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir)
-    comp = graph.components(rows, pairs.edges(rows, pairs.MERGE))
-    a, b = comp.withColumnRenamed("line_id", "u"), comp.select("page_id", F.col("line_id").alias("v"), F.col("comp").alias("comp2"))
-    near = pairs.page_pairs(rows).join(a, ["page_id", "u"]).join(b, ["page_id", "v"]).where("comp = comp2")
-    return near.withColumn("far", geometry.pattern_distance("a", "b"))
+    near = pairs.page_pairs(with_components(spark, sf_dir), "comp", "deg").where("a_comp = b_comp")
+    return near.withColumn("comp", F.col("a_comp")).withColumn("far", geometry.pattern_distance("a", "b"))
 
 
 @query(f"WITH RECURSIVE {MERGED}, {_DISTANCES} SELECT page_id, comp, u, v, round(far, 6) AS far FROM dist")
@@ -154,27 +172,34 @@ def pair_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _inside(spark, sf_dir).select("page_id", "comp", "u", "v", F.round("far", 6).alias("far"))
 
 
-@query(f"WITH RECURSIVE {MERGED}, {_DISTANCES} SELECT page_id, comp, count(*) AS n, round(avg(far), 6) AS mean_far, round(stddev_pop(far), 6) AS std_far FROM dist GROUP BY 1, 2")
+# an edge is in the least tree if nothing but later edges connects its ends
+_TREE = f"""{_DISTANCES}, d AS (SELECT page_id, comp, u, v, far, row_number() OVER (PARTITION BY page_id, comp ORDER BY far, u, v) AS r FROM dist),
+way AS (SELECT page_id, comp, u, v, r FROM d UNION ALL SELECT page_id, comp, v, u, r FROM d),
+found(page_id, comp, r, u, v, here) AS (SELECT page_id, comp, r, u, v, u FROM d UNION SELECT f.page_id, f.comp, f.r, f.u, f.v, w.v FROM found f JOIN way w ON f.page_id = w.page_id AND f.comp = w.comp AND f.here = w.u AND w.r < f.r),
+tree AS (SELECT d.* FROM d WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.page_id = d.page_id AND f.comp = d.comp AND f.r = d.r AND f.here = d.v))"""
+
+
+@query(f"WITH RECURSIVE {MERGED}, {_TREE} SELECT page_id, comp, CAST(count(*) AS INTEGER) AS n, round(avg(far), 6) AS mean_far, round(stddev_pop(far), 6) AS std_far FROM tree GROUP BY 1, 2")
 def component_edge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inside(spark, sf_dir).groupBy("page_id", "comp").agg(F.count("*").alias("n"), F.round(F.avg("far"), 6).alias("mean_far"), F.round(F.stddev_pop("far"), 6).alias("std_far"))
+    return graph.tree_stats(with_components(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {MERGED}, {_DISTANCES}, two AS (SELECT page_id, comp FROM m GROUP BY 1, 2 HAVING count(*) = 2) SELECT page_id, comp, far < 1.5 * fs2 AS kept FROM dist JOIN two USING (page_id, comp)")
+@query(f"WITH RECURSIVE {MERGED}, {_DISTANCES}, two AS (SELECT page_id, comp FROM m GROUP BY 1, 2 HAVING count(*) = 2) SELECT page_id, comp, far < 1.5 * fs2 AND turn < 36 AS kept FROM dist JOIN two USING (page_id, comp)")
 def split_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _inside(spark, sf_dir)
     one = F.count("*").over(Window.partitionBy("page_id", "comp")) == 1
-    return rows.withColumn("one", one).where("one").select("page_id", "comp", (F.col("far") < 1.5 * F.greatest("a_fs", "b_fs")).alias("kept"))
+    return rows.withColumn("one", one).where("one").select("page_id", "comp", ((F.col("far") < 1.5 * F.greatest("a_fs", "b_fs")) & (F.abs(F.col("a_deg") - F.col("b_deg")) < 36)).alias("kept"))
 
 
 @query()
 def mst_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir)
-    return graph.split_components(rows, graph.components(rows, pairs.edges(rows, pairs.MERGE)))
+    return graph.split_components(with_components(spark, sf_dir)).select("page_id", "line_id", "region")
 
 
-@query(f"WITH RECURSIVE {MERGED} SELECT page_id, comp, CAST(round_even(avg(fg), 0) AS INTEGER) AS fg, CAST(round_even(avg(bg), 0) AS INTEGER) AS bg FROM m GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {MERGED} SELECT page_id, comp, CAST(round_even(avg(fg[1]), 0) AS INTEGER) AS fg_r, CAST(round_even(avg(fg[2]), 0) AS INTEGER) AS fg_g, CAST(round_even(avg(fg[3]), 0) AS INTEGER) AS fg_b, CAST(round_even(avg(bg[1]), 0) AS INTEGER) AS bg_r, CAST(round_even(avg(bg[2]), 0) AS INTEGER) AS bg_g, CAST(round_even(avg(bg[3]), 0) AS INTEGER) AS bg_b FROM m GROUP BY 1, 2")
 def region_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.colours(with_components(spark, sf_dir))
+    rows = regions.all_columns(with_components(spark, sf_dir), ["fg", "bg"])
+    return rows.select(*regions.KEYS, *[F.col(c)[i].alias(f"{c}_{n}") for c in ("fg", "bg") for i, n in enumerate("rgb")])
 
 
 _MAJORITY = """g AS (SELECT *, count(*) FILTER (direction = 'h') OVER c AS nh, count(*) OVER c AS n, first_value(direction) OVER (PARTITION BY page_id, comp ORDER BY round(greatest(ar, 1 / ar), 9) DESC, line_id) AS f FROM m WINDOW c AS (PARTITION BY page_id, comp)),
@@ -183,7 +208,7 @@ d AS (SELECT *, CASE WHEN nh * 2 > n THEN 'h' WHEN nh * 2 < n THEN 'v' ELSE f EN
 
 @query(f"WITH RECURSIVE {MERGED}, {_MAJORITY} SELECT DISTINCT page_id, comp, dir FROM d")
 def region_majority_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.majority(with_components(spark, sf_dir))
+    return regions.all_columns(with_components(spark, sf_dir), ["dir"])
 
 
 _TEXTS = "SELECT page_id, comp, string_agg(txt, ' ' ORDER BY CASE WHEN dir = 'h' THEN cy ELSE -cx END, line_id) AS text FROM d GROUP BY 1, 2"
@@ -191,26 +216,30 @@ _TEXTS = "SELECT page_id, comp, string_agg(txt, ' ' ORDER BY CASE WHEN dir = 'h'
 
 @query(f"WITH RECURSIVE {MERGED}, {_MAJORITY} {_TEXTS}")
 def region_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.texts(with_components(spark, sf_dir))
+    return regions.all_columns(with_components(spark, sf_dir), ["text"])
 
 
 @query(f"WITH RECURSIVE {MERGED}, t AS (SELECT *, row_number() OVER (PARTITION BY page_id, comp ORDER BY area DESC, line_id) AS r FROM m) SELECT page_id, comp, CASE WHEN ar < 1 THEN 'v' ELSE 'h' END AS direction FROM t WHERE r = 1")
 def region_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.direction(with_components(spark, sf_dir))
+    return regions.all_columns(with_components(spark, sf_dir), ["direction"])
 
 
 @query(f"WITH RECURSIVE {MERGED}, t AS (SELECT page_id, comp, round(avg(deg) - 90, 6) AS a FROM m GROUP BY 1, 2) SELECT page_id, comp, CASE WHEN abs(a) < 3 THEN 0.0::DOUBLE ELSE a END AS angle FROM t")
 def region_angle_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.angle(with_components(spark, sf_dir))
+    return regions.all_columns(with_components(spark, sf_dir), ["angle"])
+
+
+#: A page's sides in pixels, for the rules that compare with the image.
+_PAGE = (150, 230)
 
 
-@query(f"WITH {LINES} SELECT page_id, line_id, prob >= 0.4 AS sure, trim(txt) <> '' AS filled, least(w, h) >= 5 AS wide_enough, area > 16 AS large_enough, NOT (x >= 150 AND y >= 230) AS inside, least(w, h) < 20 AS bordered, greatest(w, h) / 20 > 2.5 AND greatest(ar, 1 / ar) > 3 AS tiled FROM lines")
+@query(f"WITH {LINES} SELECT page_id, line_id, prob - 0.1 >= {extraction.Limits.read} AS sure, trim(txt) <> '' AS filled, least(w, h) >= 5 AS wide_enough, area > 16 AS large_enough, NOT (x >= {_PAGE[0]} AND y >= {_PAGE[1]}) AS inside, least(w * 9, h * 9) < 400 AS bordered, greatest(w, h) * 80.0 / {extraction.Limits.side} > 2.5 AND greatest(w, h) > 3 * least(w, h) AS tiled FROM lines")
 def line_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    longest = F.greatest("w", "h")
     return lines(spark, sf_dir).select(
-        "page_id", "line_id", (c("prob") >= 0.4).alias("sure"), (F.regexp_replace("txt", "(?U)^\\s+|\\s+$", "") != "").alias("filled"), (F.least("w", "h") >= 5).alias("wide_enough"),
-        (c("area") > 16).alias("large_enough"), (~((c("x") >= 150) & (c("y") >= 230))).alias("inside"), (F.least("w", "h") < 20).alias("bordered"), ((longest / 20 > 2.5) & (F.greatest(c("ar"), 1 / c("ar")) > 3)).alias("tiled"),
+        "page_id", "line_id", (c("prob") - 0.1 >= extraction.Limits.read).alias("sure"), c("txt").rlike("(?U)\\S").alias("filled"), (F.least("w", "h") >= 5).alias("wide_enough"),
+        (c("area") > 16).alias("large_enough"), (~((c("x") >= _PAGE[0]) & (c("y") >= _PAGE[1]))).alias("inside"), (F.least(c("w") * 9, c("h") * 9) < 400).alias("bordered"),
+        geometry.needs_tiles(c("w") * 80, c("h") * 80, extraction.Limits.side).alias("tiled"),
     )
 
 
@@ -224,13 +253,18 @@ def ocr_width_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("padded", F.max("strip").over(Window.partitionBy("page_id", "batch")) + 7)
 
 
-@query(f"WITH RECURSIVE {MERGED}, {_MAJORITY}, t AS ({_TEXTS}), c AS (SELECT page_id, count(*) AS n, sum(length(text)) AS chars FROM t GROUP BY 1) SELECT o_orderkey AS page_id, CAST(coalesce(n, 0) AS INTEGER) AS n_regions, CAST(coalesce(chars, 0) AS BIGINT) AS chars FROM orders LEFT JOIN c ON o_orderkey = page_id")
+_BOXES = f"""{_MAJORITY}, t AS ({_TEXTS}), big AS (SELECT *, row_number() OVER (PARTITION BY page_id, comp ORDER BY area DESC, line_id) AS r, sum(area) OVER (PARTITION BY page_id) AS pa FROM m),
+b AS (SELECT page_id, comp, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS width, max(y + h) - min(y) AS height, round(avg(deg) - 90, 6) AS off, min(fs) AS font_size,
+list_transform([1, 2, 3], lambda i: CAST(round_even(list_avg(list_transform(list(fg), lambda c: c[i])), 0) AS INTEGER)) AS fg, list_transform([1, 2, 3], lambda i: CAST(round_even(list_avg(list_transform(list(bg), lambda c: c[i])), 0) AS INTEGER)) AS bg,
+max(CASE WHEN r = 1 AND ar < 1 THEN 'v' WHEN r = 1 THEN 'h' END) AS direction, round(exp(sum(ln(prob) * area) / any_value(pa)), 6) AS confidence FROM big GROUP BY 1, 2)"""
+_DOCUMENT = """to_json({'page_id': o_orderkey, 'regions': coalesce(list({'text': text, 'x': x, 'y': y, 'width': width, 'height': height, 'angle': CASE WHEN abs(off) < 3 THEN 0.0::DOUBLE ELSE off END, 'font_size': font_size, 'fg': fg, 'bg': bg,
+'direction': direction, 'alignment': 'left', 'confidence': confidence, 'line_spacing': 1.0::DOUBLE, 'letter_spacing': 1.0::DOUBLE} ORDER BY comp) FILTER (comp IS NOT NULL), [])})"""
+
+
+@query(f"WITH RECURSIVE {MERGED}, {_BOXES} SELECT o_orderkey AS page_id, CAST(count(comp) AS INTEGER) AS n_regions, sha256(CAST({_DOCUMENT} AS VARCHAR)) AS digest FROM orders LEFT JOIN (SELECT * FROM b JOIN t USING (page_id, comp)) ON o_orderkey = page_id GROUP BY o_orderkey")
 def result_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"))
-    out = regions.documents(with_components(spark, sf_dir), pages)
-    parsed = F.from_json("document", "regions array<struct<text string>>")["regions"]["text"]
-    chars = F.aggregate(F.coalesce(parsed, F.array().cast("array<string>")), F.lit(0).cast("long"), lambda a, t: a + F.length(t))
-    return out.select("page_id", "n_regions", chars.alias("chars"))
+    return regions.documents(with_components(spark, sf_dir), pages).select("page_id", "n_regions", F.sha2("document", 256).alias("digest"))
 
 
 @query("SELECT o_orderkey AS page_id, count(l_orderkey) AS n_lines FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
@@ -259,16 +293,28 @@ def layer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.layer_name(F.col("doc_id") + 1, F.col("text")).alias("name"))
 
 
-@query(f"WITH RECURSIVE {MERGED}, {_MAJORITY}, t AS ({_TEXTS}), b AS (SELECT page_id, comp, min(x) AS x, min(y) AS y, min(fs) AS fs FROM m GROUP BY 1, 2) SELECT page_id, comp, 'addText(\"' || {_ESCAPED.format('text')} || '\", ' || x || ', ' || (y + CAST(floor(0.8 * greatest(fs, 10)) AS INTEGER)) || ', ' || greatest(fs, 10) || ');' AS block FROM t JOIN b USING (page_id, comp)")
+# the fixed parts of a page's script, around the rows of its layers
+_PROBE = layered.script([dict(text="?", font_size=10, x=0, y=0, direction="h", fg_color=[0, 0, 0])])
+_HEAD, _TAIL = (part.replace("'", "''") for part in re.split(r"  \{.*\}", _PROBE, maxsplit=1))
+
+
+@query(f"""WITH RECURSIVE {MERGED}, {_BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY comp) AS i, greatest(font_size, 10) AS size FROM b JOIN t USING (page_id, comp)),
+l AS (SELECT page_id, i, '  {{"name": "Text ' || i || ': ' || left(text, 20) || '", "text": "' || text || '", "size": ' || size || ', "x": ' || x || ', "y": ' || (y + size * 4 // 5) || ', "vertical": ' || CASE WHEN direction = 'v' THEN 'true' ELSE 'false' END || ', "color": [' || fg[1] || ', ' || fg[2] || ', ' || fg[3] || ']}}' AS layer FROM r)
+SELECT page_id, sha256('{_HEAD}' || string_agg(layer, ',' || chr(10) ORDER BY i) || '{_TAIL}') AS digest FROM l GROUP BY 1""")
 def jsx_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_components(spark, sf_dir)
-    box = rows.groupBy(*regions.KEYS).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.greatest(F.min("fs"), F.lit(10)).alias("fs"))
-    base = F.col("y") + F.floor(F.col("fs") * 0.8).cast("int")
-    block = F.format_string('addText("%s", %d, %d, %d);', text.js_escape(F.col("text")), F.col("x"), base, F.col("fs"))
-    return regions.texts(rows).join(box, regions.KEYS).select(*regions.KEYS, block.alias("block"))
+    """The script of each page, with a layer for each region."""
+
+    @F.pandas_udf("string")
+    def script(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda found: layered.script([dict(r) for r in json.loads(found)]))
+
+    rows = regions.all_columns(with_components(spark, sf_dir), ["text", "font_size", "x", "y", "direction", "fg"])
+    box = F.struct("comp", "text", "font_size", "x", "y", "direction", F.col("fg").alias("fg_color"))
+    found = rows.groupBy("page_id").agg(F.to_json(F.sort_array(F.collect_list(box))).alias("regions"))
+    return found.select("page_id", F.sha2(script("regions"), 256).alias("digest"))
 
 
-_VALUABLE = r"regexp_replace(text, '[\p{P}\p{Zs}\p{Cc}\p{Cf}\p{Nd}\x24\x2B\x3C\x3D\x3E\x5E\x60\x7C\x7E]', '', 'g')"
+_VALUABLE = f"regexp_replace(text, '{text.NOT_VALUABLE}', '', 'g')"
 
 
 @query(f"SELECT doc_id, CAST(length({_VALUABLE}) AS INTEGER) AS n_valuable, length({_VALUABLE}) > 0 AS any_valuable FROM documents")
@@ -277,40 +323,24 @@ def valuable_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_valuable"), (n > 0).alias("any_valuable"))
 
 
-_SCRIPTS = ["שלום", "مرحبا", "ܫܠܡ", "ﻼ", "한국어", "ㄱ", "漢字", "plain", "", "word"]
-_WORDS = ", ".join(f"({i}, '{w}', {l})" for i, w in enumerate(_SCRIPTS) for l in ["NULL", "'ko'", "'en'", "''"])
-
-
-@query(rf"SELECT i, lang, regexp_matches(t, '[\x{{0590}}-\x{{05FF}}\x{{0600}}-\x{{06FF}}\x{{0750}}-\x{{077F}}\x{{08A0}}-\x{{08FF}}\x{{FB50}}-\x{{FDFF}}\x{{FE70}}-\x{{FEFF}}\x{{0700}}-\x{{074F}}]') AS rtl, CASE WHEN lang = 'ko' THEN true WHEN coalesce(lang, '') <> '' THEN false ELSE regexp_matches(t, '[\x{{AC00}}-\x{{D7AF}}\x{{3131}}-\x{{3163}}]') END AS korean FROM (VALUES {_WORDS}) v(i, t, lang)")
+@query(f"SELECT doc_id, lang, regexp_matches(coalesce(text, ''), '{text.RTL}') AS rtl, CASE WHEN lang = 'ko' THEN true WHEN coalesce(lang, '') <> '' THEN false ELSE regexp_matches(coalesce(text, ''), '{text.HANGUL}') END AS korean FROM documents")
 def script_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, w, l) for i, w in enumerate(_SCRIPTS) for l in (None, "ko", "en", "")], "i int, t string, lang string")
-    return rows.select("i", "lang", F.col("t").rlike(text.RTL).alias("rtl"), text.is_korean(F.col("t"), F.col("lang")).alias("korean"))
-
-
-@query(r"SELECT doc_id, lang, regexp_matches(coalesce(text, ''), '[\x{0590}-\x{05FF}\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}\x{0700}-\x{074F}]') AS rtl, CASE WHEN lang = 'ko' THEN true WHEN coalesce(lang, '') <> '' THEN false ELSE regexp_matches(coalesce(text, ''), '[\x{AC00}-\x{D7AF}\x{3131}-\x{3163}]') END AS korean FROM documents")
-def script_flags_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     return table(spark, sf_dir, "documents").select("doc_id", "lang", t.rlike(text.RTL).alias("rtl"), text.is_korean(t, F.col("lang")).alias("korean"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN role = 'user' AND length(text) % 2 = 0 THEN reverse(left(text, 40)) ELSE left(text, 40) END AS shown, trim(text) = '' AS blank FROM conversations")
+@query("SELECT conv_id, turn, sha256(CASE WHEN role = 'user' AND regexp_matches(text, '\\S') THEN regexp_replace(text, ' +', ' ', 'g') ELSE text END) AS digest, trim(text) = '' AS blank FROM conversations")
 def spacing_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations")
-    fixed = F.when((F.col("role") == "user") & (F.length("text") % 2 == 0), F.reverse(F.substring("text", 1, 40))).otherwise(F.lit(""))
-    return rows.select("conv_id", "turn", text.shown(fixed, F.substring("text", 1, 40)).alias("shown"), (F.trim("text") == "").alias("blank"))
-
-
-@query("SELECT conv_id, turn, sha256(CASE WHEN role = 'user' AND length(text) % 2 = 0 THEN reverse(text) ELSE text END) AS digest, trim(text) = '' AS blank FROM conversations")
-def spacing_gate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations")
-    fixed = F.when((F.col("role") == "user") & (F.length("text") % 2 == 0), F.reverse("text")).otherwise(F.lit(""))
-    return rows.select("conv_id", "turn", F.sha2(text.shown(fixed, F.col("text")), 256).alias("digest"), (F.trim("text") == "").alias("blank"))
+    """Turns of users count as Korean; the corrector at hand joins spaces."""
+    lang = F.when(F.col("role") == "user", "ko").otherwise("en")
+    fixed = text.corrected(F.col("text"), lang, lambda t, _: F.regexp_replace(t, " +", " "))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(text.shown(fixed, F.col("text")), 256).alias("digest"), (F.trim("text") == "").alias("blank"))
 
 
-@query("SELECT doc_id, CAST(greatest(ceil(length(text) / 40), 1) AS INTEGER) AS n_lines, substr(text, 41, 40) AS second FROM documents")
+@query("SELECT doc_id, CAST(greatest(ceil(length(text) / 40), 1) AS INTEGER) AS n_lines, sha256(list_aggregate(list_transform(range(CAST(greatest(ceil(length(text) / 40), 1) AS INTEGER)), lambda i: substr(text, i * 40 + 1, 40)), 'string_agg', chr(10))) AS digest FROM documents")
 def text_wrap_mono(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrapped = text.wrapped(F.col("text"), 40)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(wrapped).alias("n_lines"), F.coalesce(F.get(wrapped, F.lit(1)), F.lit("")).alias("second"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(wrapped).alias("n_lines"), F.sha2(F.array_join(wrapped, "\n"), 256).alias("digest"))
 
 
 @query(f"WITH {LOGITS}, t AS (SELECT *, row_number() OVER (PARTITION BY vec_id, step ORDER BY lg DESC, tok) AS r FROM logits), s AS (SELECT *, min(CASE WHEN tok = 2 THEN step END) OVER (PARTITION BY vec_id) AS stop FROM t WHERE r = 1) SELECT vec_id, coalesce(string_agg(CASE WHEN tok = 3 THEN ' ' ELSE chr(tok + 97) END, '' ORDER BY step) FILTER (tok <> 1 AND (stop IS NULL OR step < stop)), '') AS text FROM s GROUP BY 1")
@@ -334,15 +364,15 @@ def pixel_component_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.pixel_components(pixels(spark, sf_dir)).where("area > 9")
 
 
-@query(f"""WITH RECURSIVE {_BLOBS}, b AS (SELECT vec_id, k AS line_id, (k % 2) * 4 + 1 AS bx, (k // 2) * 4 AS by_, 2 AS bw, 3 AS bh FROM (SELECT DISTINCT vec_id FROM pixels), range(4) t(k)),
-j AS (SELECT *, round(greatest(0, least(x + width, bx + bw) - greatest(x, bx)) * greatest(0, least(y + height, by_ + bh) - greatest(y, by_)) / least(width * height, bw * bh), 9) AS share, round(sqrt((x + width / 2 - bx - bw / 2) ** 2 + (y + height / 2 - by_ - bh / 2) ** 2), 9) AS far, 0.5 * greatest(least(bw, bh, width, height), 10) AS reach FROM blobs JOIN b USING (vec_id)),
+@query(f"""WITH RECURSIVE {_BLOBS}, b AS (SELECT vec_id, k AS line_id, (k % 2) * 2 AS bx, (k // 2) * 3 AS by_, 6 AS bw, 5 AS bh FROM (SELECT DISTINCT vec_id FROM pixels), range(4) t(k)),
+j AS (SELECT *, greatest(0, least(x + width, bx + bw) - greatest(x, bx)) * greatest(0, least(y + height, by_ + bh) - greatest(y, by_)) / least(area, bw * bh) AS share, sqrt(greatest(0, bx - x - width / 2, x + width / 2 - bx - bw) ** 2 + greatest(0, by_ - y - height / 2, y + height / 2 - by_ - bh) ** 2) AS far FROM blobs JOIN b USING (vec_id) WHERE area > 9),
 o AS (SELECT *, row_number() OVER (PARTITION BY vec_id, comp ORDER BY share DESC, line_id) AS r1, row_number() OVER (PARTITION BY vec_id, comp ORDER BY far, line_id) AS r2 FROM j)
-SELECT vec_id, comp, CAST(coalesce(max(CASE WHEN r1 = 1 AND share > 0 THEN line_id END), max(CASE WHEN r2 = 1 AND far < reach THEN line_id END)) AS INTEGER) AS line_id FROM o GROUP BY 1, 2""")
+SELECT vec_id, comp, CAST(CASE WHEN max(CASE WHEN r1 = 1 THEN area >= bw * bh END) THEN NULL WHEN max(share) > 0.01 THEN max(CASE WHEN r1 = 1 THEN line_id END) ELSE max(CASE WHEN r2 = 1 AND far < 0.5 * greatest(least(bw, bh, width, height), 10) THEN line_id END) END AS INTEGER) AS line_id FROM o GROUP BY 1, 2""")
 def component_line_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = pixels(spark, sf_dir)
     k = F.col("line_id")
     boxes = cells.select("vec_id").distinct().withColumn("line_id", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    boxes = boxes.select("vec_id", "line_id", ((k % 2) * 4 + 1).alias("x"), (F.floor(k / 2) * 4).alias("y"), F.lit(2).alias("w"), F.lit(3).alias("h"))
+    boxes = boxes.select("vec_id", "line_id", ((k % 2) * 2).alias("x"), (F.floor(k / 2) * 3).alias("y"), F.lit(6).alias("w"), F.lit(5).alias("h"))
     return raster.assigned(raster.pixel_components(cells), boxes)
 
 
@@ -351,7 +381,7 @@ def box_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.box_scores(pixels(spark, sf_dir))
 
 
-@query(f"WITH {PIXELS} SELECT a.vec_id, CAST(sum(CASE WHEN a.p > 127 THEN b.p ELSE a.p END) AS BIGINT) AS total, count(*) FILTER (a.p > 127) AS masked FROM pixels a JOIN pixels b ON b.vec_id = a.vec_id + 1 AND a.py = b.py AND a.px = b.px GROUP BY 1")
+@query(f"WITH {PIXELS} SELECT a.vec_id, CAST(sum(CASE WHEN a.p > 127 THEN b.p ELSE a.p END) AS BIGINT) AS total, count(*) FILTER (a.p > 127) AS masked FROM pixels a JOIN pixels b ON b.vec_id = (a.vec_id + 1) % (SELECT count(DISTINCT vec_id) FROM pixels) AND a.py = b.py AND a.px = b.px GROUP BY 1")
 def mask_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.composite(pixels(spark, sf_dir))
 
@@ -366,10 +396,10 @@ def beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beam.search(logits(spark, sf_dir))
 
 
-@query("SELECT vec_id, CAST(greatest(0, least(255, trunc(coalesce(avg(e) FILTER (f), 0) * 512 + 128))) AS INTEGER) AS fg, CAST(greatest(0, least(255, trunc(coalesce(avg(e) FILTER (NOT f), avg(e) FILTER (f), 0) * 512 + 128))) AS INTEGER) AS bg FROM (SELECT vec_id, CAST(embedding[i + 1] AS DOUBLE) AS e, embedding[i + 1] > embedding[i + 2] AS f FROM (SELECT *, unnest(range(63)) AS i FROM embeddings)) GROUP BY 1")
+@query("SELECT vec_id, CAST(greatest(0, least(255, trunc(coalesce(avg(e) FILTER (f), 0) * 512 + 128))) AS INTEGER) AS fg, CAST(greatest(0, least(255, trunc(coalesce(avg(e) FILTER (NOT f), avg(e) FILTER (f), 0) * 512 + 128))) AS INTEGER) AS bg FROM (SELECT vec_id, CAST(embedding[i + 1] AS DOUBLE) AS e, embedding[i + 1] > embedding[(i + 1) % 64 + 1] AS f FROM (SELECT *, unnest(range(64)) AS i FROM embeddings)) GROUP BY 1")
 def color_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"), "embedding").where("i < 63")
-    f = F.col("e") > F.get("embedding", F.col("i") + 1)
+    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"), "embedding")
+    f = F.col("e") > F.get("embedding", (F.col("i") + 1) % F.size("embedding"))
     e = F.col("e").cast("double")
     front, back = F.avg(F.when(f, e)), F.avg(F.when(~f, e))
     rows = cells.groupBy("vec_id").agg(F.coalesce(front, F.lit(0.0)).alias("a"), F.coalesce(back, front, F.lit(0.0)).alias("b"))
@@ -397,15 +427,16 @@ def extended_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("page_id", "line_id", x.alias("x1"), w.alias("w1"), y.alias("y1"), h.alias("h1"))
 
 
-@query("SELECT page_id, length(html) > 2.5 * 256 AND length(html) > 3 * length(url) AND length(url) > 0 AS tiles FROM pages WHERE length(html) >= length(url)")
+@query("WITH s AS (SELECT page_id, greatest(coalesce(length(html), 0), coalesce(length(url), 0)) AS long, least(coalesce(length(html), 0), coalesce(length(url), 0)) AS short FROM pages) SELECT page_id, coalesce(long > 2.5 * 256 AND long / nullif(short, 0) > 3, false) AS tiles FROM s")
 def tiling_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").where(F.length("html") >= F.length("url"))
-    return rows.select("page_id", F.coalesce(geometry.needs_tiles(F.length("url"), F.length("html"), 256), F.lit(False)).alias("tiles"))
+    sides = [F.coalesce(F.length(c), F.lit(0)) for c in ("url", "html")]
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(geometry.needs_tiles(*sides, 256), F.lit(False)).alias("tiles"))
 
 
-@query(f"WITH {LINES} SELECT page_id, CASE WHEN count(*) = 1 OR max(direction) = 'h' THEN 'center' ELSE 'left' END AS alignment FROM lines GROUP BY 1")
+@query(f"WITH RECURSIVE {MERGED}, t AS (SELECT *, row_number() OVER (PARTITION BY page_id, comp ORDER BY area DESC, line_id) AS r FROM m) SELECT page_id, comp, CASE WHEN count(*) = 1 OR max(CASE WHEN r = 1 AND ar >= 1 THEN 1 ELSE 0 END) = 1 THEN 'center' ELSE 'left' END AS alignment FROM t GROUP BY 1, 2")
 def region_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).groupBy("page_id").agg(geometry.alignment(F.count("*"), F.max("direction")).alias("alignment"))
+    rows = regions.all_columns(with_components(spark, sf_dir), ["n_lines", "direction"])
+    return rows.select(*regions.KEYS, geometry.alignment(F.col("n_lines"), F.col("direction")).alias("alignment"))
 
 
 @query(f"WITH {QUADS} SELECT page_id, line_id, vertical, round(ratio, 6) AS ratio, round(fs, 6) AS fs, round(angle, 6) AS angle, upright, area, x, y, w, h FROM quads")

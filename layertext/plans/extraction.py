@@ -4,6 +4,7 @@ Ports are plain functions given by the caller, as no trained network can be had
 
 - scores(image) -> [height, width] of 0..1; for want of a network images.darkness;
 - read(strip) -> (text, probability, foreground, background), colours as three numbers each; has no stand-in;
+- smooth(image) -> image, before detection of an image that is not tiled; images.bilateral;
 - paint(image, mask) -> image; for want of a network images.filled;
 - correct(text, lang) -> text, as Columns; leaves texts as they are unless given.
 
@@ -37,6 +38,7 @@ class Ports:
     read: Reader
     scores: Callable[[np.ndarray], np.ndarray] = images.darkness
     paint: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = images.filled
+    smooth: Callable[[np.ndarray], np.ndarray] = images.bilateral
     correct: Callable[[Column, Column], Column] | None = None
 
 
@@ -61,15 +63,19 @@ def found_lines(image: np.ndarray, ports: Ports, limits: Limits) -> list[tuple]:
     framed = images.bordered(image) if min(image.shape[:2]) < 400 else image
     scale = min(limits.side / max(framed.shape[:2]), 1)
     tiled = max(framed.shape[:2]) / limits.side > 2.5 and max(framed.shape[:2]) > 3 * min(framed.shape[:2])
-    if tiled or scale == 1:
+    if tiled:
         scale, small = 1.0, framed
     else:
-        small = images.resized(framed, *(max(round(n * scale), 1) for n in framed.shape[:2]))
+        small = ports.smooth(framed)
+        small = small if scale == 1 else images.resized(small, *(max(round(n * scale), 1) for n in framed.shape[:2]))
     height, width = image.shape[:2]
     scores = images.by_tiles(small, limits.side, ports.scores)[: round(height * scale), : round(width * scale)]
     out = []
     for quad, _ in images.boxes(scores, limits.pixel, limits.box, limits.grow):
-        quad = np.clip(quad / scale, 0, [width, height]).astype(int)
+        quad = quad / scale
+        if (quad.min(axis=0) >= [width, height]).all():  # beyond the image both ways
+            continue
+        quad = np.clip(quad, 0, [width, height]).astype(int)
         sides = np.hypot(*(np.roll(quad, -1, axis=0) - quad).T)
         if sides[0] * sides[1] > 16:
             ordered, vertical = corner_order(quad)
@@ -128,18 +134,14 @@ def merged(found: DataFrame, limits: Limits = Limits(), correct: Callable[[Colum
             "deg": F.coalesce(F.degrees("angle"), F.lit(90.0)),
         }
     )
-    comps = graph.components(rows, quads.edges(rows, pairs.MERGE))
-    groups = graph.split_components(rows.withColumn("fs", F.greatest("fs", F.lit(1.0))), comps).select("page_id", "line_id", F.col("region").alias("comp"))
-    rows = scratch.written(rows.join(groups, ["page_id", "line_id"]), "groups")
-    shades = [F.bround(F.avg(F.col(c)[i])).cast("int") for c in ("fg", "bg") for i in range(3)]
-    colours = rows.groupBy(*regions.KEYS).agg(F.array(*shades[:3]).alias("fg_color"), F.array(*shades[3:]).alias("bg_color"))
-    region = regions.merged(rows)
-    for part in (regions.texts(rows), regions.direction(rows), regions.angle(rows), colours, rectangles(rows)):
-        region = region.join(part, regions.KEYS)
+    groups = graph.split_components(graph.labelled(rows, quads.edges(rows, pairs.MERGE)))
+    rows = scratch.written(groups.withColumn("comp", F.col("region")).drop("region"), "groups")
+    region = regions.all_columns(rows).withColumnsRenamed({"fg": "fg_color", "bg": "bg_color"}).join(rectangles(rows), regions.KEYS)
     size = F.when(F.col("font_size") > 0, F.col("font_size")).otherwise(20)
     shown = F.regexp_replace("text", "(?U)^\\s+|\\s+$", "")
-    gated = F.when(text.is_korean(shown, F.lit("")), correct(shown, F.lit(""))).otherwise(shown) if correct is not None else F.lit("")
-    fixed = {"text": shown, "font_size": size, "bold": F.lit(False), "italic": F.lit(False), "alignment": F.lit("left"), "source_lang": F.lit(""), "line_spacing": F.lit(1.0), "letter_spacing": F.lit(1.0), "text_corrected": gated}
+    lang = text.script_language(F.col("text"))
+    gated = text.corrected(shown, lang, correct) if correct is not None else F.lit("")
+    fixed = {"text": shown, "font_size": size, "bold": F.lit(False), "italic": F.lit(False), "alignment": F.lit("left"), "source_lang": lang, "line_spacing": F.lit(1.0), "letter_spacing": F.lit(1.0), "text_corrected": gated}
     names = [c.split()[0] for c in REGION.split(", ")]
     region = region.withColumns(fixed).select(*regions.KEYS, F.struct(*names).cast(f"struct<{REGION.replace(' ', ':').replace(',:', ',')}>").alias("r"))
     listed = region.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("comp", "r"))), lambda s: s.r).alias("regions"))

@@ -27,8 +27,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(tall, wide).otherwise(thin).alias("h"),
         (F.lit(0.2) + F.col("l_discount") * 5).alias("prob"),
         F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("txt"),
-        (F.col("l_partkey") % 256).cast("int").alias("fg"),
-        (F.col("l_suppkey") % 256).cast("int").alias("bg"),
+        *[F.array(*[(F.col(f"l_{of}key") * k % 256).cast("int") for k in (1, 7, 13)]).alias(name) for name, of in (("fg", "part"), ("bg", "supp"))],
         (F.lit(90) + (F.col("l_discount") - 0.05) * 100).alias("deg"),
     )
     return rows.withColumns(
@@ -48,7 +47,7 @@ SELECT l_orderkey AS page_id, CAST(row_number() OVER (PARTITION BY l_orderkey OR
 CAST((l_partkey * 37 + l_suppkey * 11) % 160 AS INTEGER) AS x, CAST((l_partkey * 13 + l_suppkey * 29) % 240 AS INTEGER) AS y,
 CASE WHEN l_suppkey % 4 = 0 THEN 14 + CAST(l_quantity AS INTEGER) % 12 ELSE 60 + CAST(l_quantity AS INTEGER) END AS w,
 CASE WHEN l_suppkey % 4 = 0 THEN 60 + CAST(l_quantity AS INTEGER) ELSE 14 + CAST(l_quantity AS INTEGER) % 12 END AS h,
-0.2::DOUBLE + l_discount * 5 AS prob, 'T' || l_partkey AS txt, CAST(l_partkey % 256 AS INTEGER) AS fg, CAST(l_suppkey % 256 AS INTEGER) AS bg, 90 + (l_discount - 0.05::DOUBLE) * 100 AS deg FROM lineitem))"""
+0.2::DOUBLE + l_discount * 5 AS prob, 'T' || l_partkey AS txt, [CAST(l_partkey * k % 256 AS INTEGER) FOR k IN [1, 7, 13]] AS fg, [CAST(l_suppkey * k % 256 AS INTEGER) FOR k IN [1, 7, 13]] AS bg, 90 + (l_discount - 0.05::DOUBLE) * 100 AS deg FROM lineitem))"""
 
 
 def quads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from layertext.functions import text
@@ -11,22 +11,34 @@ from layertext.functions import text
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
-def named(files: DataFrame) -> DataFrame:
-    """The images among files (path), with folder, base (name without extension) and order (natural within the folder)."""
+def named(files: DataFrame, kept: Column | None = None) -> DataFrame:
+    """The images among files (path), with folder, base (name without extension) and order (natural within the folder).
+
+    kept: the files to keep instead of those with an image's extension.
+    """
     name = F.regexp_extract("path", "([^/]+)$", 1)
-    rows = files.where(text.is_image(F.col("path"))).withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]+$", 1))
+    rows = files.where(text.is_image(F.col("path")) if kept is None else kept).withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]+$", 1))
     return rows.withColumn("base", F.regexp_replace(name, "\\.[^.]+$", "")).withColumn("order", text.natural_key(name))
 
 
 def listed(spark: SparkSession, path: str) -> DataFrame:
-    """The images of a folder and the folders in it; contents are read only where a column asks for them."""
-    return named(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+    """The images of a folder and the folders in it, or a single file, whatever its name; contents are read only where a
+    column asks for them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return named(files, F.lit(True) if is_file(spark, path) else None)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(store.exists(at) and store.getFileStatus(at).isFile())
 
 
 def decoded(spark: SparkSession, path: str) -> DataFrame:
     """path, width, height, n_channels, data and error: null, or why the image stands aside.  No file stops the others."""
     rows = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*")
-    rows = rows.where(text.is_image(F.col("origin")))
+    if not is_file(spark, path):
+        rows = rows.where(text.is_image(F.col("origin")))
     error = F.when(F.coalesce("width", F.lit(-1)) < 0, F.lit("not decodable"))
     return rows.select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("n_channels"), "data", error.alias("error"))
 

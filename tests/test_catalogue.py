@@ -44,7 +44,7 @@ def test_joined_texts(spark):
 def test_escape_and_natural_key(spark):
     df = spark.createDataFrame([("p10", 'a\\"\n\r\t')], "n string, t string")
     row = df.select(text.natural_key(F.col("n")), text.js_escape(F.col("t"))).first()
-    assert row[0] == "p" + "10".rjust(20, "0") and row[1] == 'a\\\\\\"\\r\\r\\t'
+    assert row[0] == "p\x01" + "2".rjust(10, "0") + "10" and row[1] == 'a\\\\\\"\\r\\r\\t'
 
 
 def test_split_cuts_the_outlier():
@@ -84,17 +84,69 @@ def test_beam_search_equals_brute_force(spark):
     assert {r.vec_id: (r.tokens, r.score, r.ended) for r in out} == {v: brute_beam(s, 5) for v, s in data.items()}
 
 
-def test_spacing_gate_whole_sees_what_lies_behind_40_characters(spark, tmp_path):
+def test_spacing_gate_sees_what_lies_behind_40_characters(spark, tmp_path):
     turns = lambda end: [(1, 0, "user", "x" * 41 + end), (1, 1, "assistant", "x" * 50 + end)]
     out = []
     for end in "ab":
         spark.createDataFrame(turns(end), "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/{end}/conversations.parquet")
-        out.append({r.digest for r in catalogue.QUERIES["spacing_gate_whole"](spark, f"{tmp_path}/{end}").collect()})
+        out.append({r.digest for r in catalogue.QUERIES["spacing_gate"](spark, f"{tmp_path}/{end}").collect()})
     assert len(out[0]) == 2 and not out[0] & out[1]
 
 
 def test_script_flags_judge_documents(spark, tmp_path):
-    rows = [(1, "word שלום", "en"), (2, "word 한국어", None), (3, "한국어", "en"), (4, None, "ko"), (5, "plain", "")]
+    rows = [(1, "word مرحبا", "en"), (6, "word שלום", "en"), (2, "word 한국어", None), (3, "한국어", "en"), (4, None, "ko"), (5, "plain", "")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r.doc_id: (r.rtl, r.korean) for r in catalogue.QUERIES["script_flags_documents"](spark, str(tmp_path)).collect()}
-    assert found == {1: (True, False), 2: (False, True), 3: (False, False), 4: (False, True), 5: (False, False)}
+    found = {r.doc_id: (r.rtl, r.korean) for r in catalogue.QUERIES["script_flags"](spark, str(tmp_path)).collect()}
+    assert found == {1: (True, False), 6: (False, False), 2: (False, True), 3: (False, False), 4: (False, True), 5: (False, False)}
+
+
+def test_names_sort_by_their_numbers(spark):
+    names = ["p1", "p2", "P3", "p10", "p02x", "p" + "9" * 25, "p1" + "0" * 25, "10", "9a", "p", "p-1", "pa"]
+    parts = lambda n: [int(c) if c.isdigit() else c.lower() for c in __import__("re").split(r"(\d+)", n)]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r.n for r in df.orderBy(text.natural_key(F.col("n"))).collect()] == sorted(names, key=parts)
+
+
+def test_digits_and_scripts(spark):
+    import unicodedata
+
+    tested = [chr(c) for c in [*range(32, 0x250), *range(0x2070, 0x20A0), *range(0x2460, 0x2500), *range(0x2776, 0x2794), 0x1371, 0x10A40, 0x10E60, 0x1F101] if unicodedata.category(chr(c)) != "Cn"]
+    worth = lambda c: not (c.isdigit() or unicodedata.category(c)[0] == "P" or unicodedata.category(c) in ("Zs", "Cc", "Cf") or c in "$+<=>^`|~")
+    df = spark.createDataFrame([(c,) for c in tested], "c string")
+    assert {r.c for r in df.where(F.length(text.valuable(F.col("c"))) > 0).collect()} == {c for c in tested if worth(c)}
+    edges = [(c, any(a <= c <= b for a, b in text.RTL_RANGES)) for a, b in text.RTL_RANGES for c in (a - 1, a, b, b + 1)] + [(0x05D0, False), (0x0710, False)]
+    df = spark.createDataFrame([(chr(c), want) for c, want in edges if not 0xD800 <= c < 0xE000], "c string, want boolean")
+    assert df.where(F.col("c").rlike(text.RTL) != F.col("want")).count() == 0
+    rows = [("plain", "en"), ("한국어", "ko"), ("漢字かな", "ja"), ("漢字", "zh"), ("слово", "ru"), ("12 !", "")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert df.where(text.script_language(F.col("t")) != F.col("want")).count() == 0
+
+
+def test_two_turned_lines_are_split():
+    near = np.array([[0.0, 5], [5, 0]])
+    touch, fs, at = np.ones((2, 2), bool), np.full(2, 10.0), np.zeros(2)
+    assert graph.split(near, touch, fs, at, at, np.array([90.0, 120])) == [[0, 1]]
+    assert graph.split(near, touch, fs, at, at, np.array([90.0, 126])) == [[0], [1]]
+
+
+def test_pattern_distances_equal_the_column_function(spark):
+    from layertext.operators import pairs
+    from layertext.sources import derived
+    from layertext.functions import geometry
+
+    rows = derived.lines(spark, SF).where("page_id < 200")
+    far = pairs.page_pairs(rows).select("page_id", "u", "v", geometry.pattern_distance("a", "b").alias("far")).collect()
+    by = {}
+    for r in rows.collect():
+        by.setdefault(r.page_id, {})[r.line_id] = r
+    for r in far:
+        own = [by[r.page_id][i] for i in sorted(by[r.page_id])]
+        matrix = graph.pattern_distances(*(np.array([x[c] for x in own], float) for c in "xywh"))
+        assert matrix[r.u, r.v] == pytest.approx(r.far)
+
+
+def test_parts_without_overlap_go_to_the_nearest_line():
+    lines = np.array([[0, 0, 100, 20], [0, 40, 100, 20]], float)
+    assert raster.owner(50, (10, 5, 10, 10), lines) == 0
+    assert raster.owner(50, (10, 24, 10, 8), lines) == -1 and raster.owner(50, (10, 21, 10, 6), lines) == 0
+    assert raster.owner(3000, (0, 0, 100, 30), lines) == -1
