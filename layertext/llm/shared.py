@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import threading
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from layertext.sources.scratch import new_path, result, written
+
+__all__ = ["components", "is_small", "join_small", "new_path", "result", "small_batches", "written"]
+
 #: A table is broadcast only when a count has shown that it has at most so many rows.
 BROADCAST_ROWS = 50_000
+#: A key of more rows than this is dealt out where a join can't broadcast.
+HOT_ROWS = 100_000
 
 #: UTF-8 words are runs of bytes other than these; the pattern serves Spark and DuckDB alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one is made only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="layertext-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Long texts must fit a batch sent to Python; a setting that the user has made stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -33,64 +25,28 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/layertext/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there, and any executor may be lost later."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    for paths in _open_scopes()[-1:]:
-        paths.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_scopes = threading.local()
-
-
-def _open_scopes() -> list[list[str]]:
-    if not hasattr(_scopes, "paths"):
-        _scopes.paths = []
-    return _scopes.paths
-
-
-def result(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
-    """Write what build() returns and delete the tables that were written on the way: only the result stays on disk.
-
-    build() must not hand out tables in any other way, as they are gone afterwards.
-    """
-    path = new_path(spark, name)
-    for paths in _open_scopes()[-1:]:
-        paths.append(path)
-    _open_scopes().append([])
-    try:
-        df = build()
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        for done in _open_scopes().pop():
-            at = spark._jvm.org.apache.hadoop.fs.Path(done)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
-    """Join with a table that is usually small: broadcast when its counted rows allow it, else salted against hot keys.
+    """Join with a table that is usually small: broadcast when its counted rows allow it, else by the keys.
 
-    Keys compare null-safe: a null key finds the row of the null key.
+    Keys compare null-safe: a null key finds the row of the null key.  Where the table is not small, keys that are counted
+    to be hot in `big` are dealt out by a salt, and only their rows of the table are repeated; all others join once.
     """
     small = small.select(*[F.col(c).alias(f"__{c}") if c in on else F.col(c) for c in small.columns])
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on]
+    keys = [f"__{c}" for c in on]
     if is_small(small):
-        return big.join(F.broadcast(small), same, how).drop(*[f"__{c}" for c in on])
-    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = big.withColumn("__at", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
-    return dealt.join(salted, [*same, F.col("__at") == F.col("__salt")], how).drop("__salt", "__at", *[f"__{c}" for c in on])
+        return big.join(F.broadcast(small), same, how).drop(*keys)
+    hot = written(big.groupBy(*on).count().where(F.col("count") > HOT_ROWS).select(*[F.col(c).alias(f"__h_{c}") for c in on], F.lit(True).alias("__hot")), "hot")
+    if hot.isEmpty() or not is_small(hot):  # beyond that size no key holds a large share
+        return big.join(small, same, how).drop(*keys)
+    flag = lambda t, prefix: t.join(F.broadcast(hot), [F.col(f"{prefix}{c}").eqNullSafe(F.col(f"__h_{c}")) for c in on], "left").drop(*[f"__h_{c}" for c in on])
+    repeated = flag(small, "__").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    dealt = flag(big, "").withColumn("__at", F.when(F.col("__hot"), F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")).otherwise(0)).drop("__hot")
+    return dealt.join(repeated, [*same, F.col("__at") == F.col("__salt")], how).drop("__salt", "__at", *keys)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

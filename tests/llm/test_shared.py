@@ -5,10 +5,11 @@ from __future__ import annotations
 import glob
 
 from layertext.llm import shared
+from layertext.sources import scratch
 
 
 def test_result_deletes_what_was_written_on_the_way(spark):
-    folder = shared.shared_dir(spark).removeprefix("file://")
+    folder = scratch.folder(spark).removeprefix("file://")
 
     def build():
         first = shared.written(spark.range(5), "way-first")
@@ -22,7 +23,7 @@ def test_result_deletes_what_was_written_on_the_way(spark):
 
 
 def test_result_deletes_after_a_failure(spark):
-    folder = shared.shared_dir(spark).removeprefix("file://")
+    folder = scratch.folder(spark).removeprefix("file://")
 
     def build():
         shared.written(spark.range(5), "lost-first")
