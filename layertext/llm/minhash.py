@@ -6,7 +6,9 @@ A document's set holds its distinct five-word shingles.  Its sketch is the k lea
 2. Inverted lists of the retained values.  Two linked documents share most of their sketches, so they meet in a list of
    one of their rarest retained values already (prefix filtering): only those rarest values get lists.  Short lists give
    all their pairs.  Long lists, which are families of copies or passages of many documents, give each member a pair with
-   two pivots only; what the pivots leave apart is compared with the whole list in blocks of bounded size.
+   two pivots only.  What the pivots leave apart gets inverted lists of its full sets, of each set's rarest shingles only:
+   linked sets share one of them for certain.  Short lists again give all pairs.  Only sets of which nearly all shingles are
+   common are compared with one another in blocks of bounded size.
 3. The union's sketch estimates the similarity of a pair and drops pairs far below the threshold.
 4. The full sets confirm or reject each remaining pair: first each class's best partner, then the pairs between
    components that are still apart.  Pairs inside a component can't change it.
@@ -31,8 +33,10 @@ from layertext.llm import shared, words
 K = 48
 #: Lists of at most so many members give all their pairs.
 SHORT = 12
-#: Members of a block, and of a part of a list, that meet in one task.
-BLOCK, PART = 1024, 4096
+#: A shingle of at most so many of the sets that are left apart gives all pairs of them.
+RARE = 32
+#: Shingles of a block of sets, and of a part of a bundle, that meet in one task.
+BLOCK, PART = 1 << 17, 1 << 19
 
 
 def floor_of(percent: int, k: int = K) -> float:
@@ -71,7 +75,8 @@ def _candidates(reps: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataF
     """Rows (v, sig, n, rare) of the inverted lists, and pairs (a, b) of signatures, a < b, that come from them."""
     floor = floor_of(percent, k)
     values = reps.select("sig", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
-    common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    # written, so that a value of very many sketches can be split in the join
+    common = shared.written(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "common")
     own = values.join(common, "v").groupBy("sig", "n", "kept").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     reach = F.col("kept") - F.ceil(F.col("kept") * floor) + 1 - (F.col("kept") - F.size("vs"))
     own = own.withColumn("vs", F.slice("vs", F.lit(1), F.greatest(F.lit(0), reach).cast("int")))
@@ -90,6 +95,7 @@ def _candidates(reps: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataF
     pivots = pivots.select("v", F.explode(F.array(F.struct("central.sig", "central.n"), F.struct("any.sig", "any.n"))).alias("p")).select(
         "v", F.col("p.sig").alias("b"), F.col("p.n").alias("m")
     )
+    pivots = shared.written(pivots, "pivots")
     few = long.where("pos < 6").select("v", F.col("sig").alias("a"), "n")
     hung = few.join(pivots, "v").where(f"a != b and {fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return rows, pairs.unionByName(hung).distinct()
@@ -157,34 +163,76 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, sketched: DataFrame, docs: Dat
     return shared.written(best.unionByName(_verified(rest, texts, percent, width)), "links")
 
 
-def _left_over(rows: DataFrame, sketched: DataFrame, docs: DataFrame, roots: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links (a, b) within long lists that join what the pivots left in different components.
+def _linked_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sets (sig, set) links."""
 
-    Lists with the same central member form one bundle, so a family of copies meets about once.  Of each bundle, the
-    members outside its most frequent component are dealt into blocks and all members into parts; each block meets each
-    part in a group of bounded size, which compares their sets (as 32-bit hashes) and returns a spanning forest of the
-    links between components.  So the output grows with the members, not with their pairs.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for left, right in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                left, right = left.values.to_numpy(), right.values.to_numpy()
+                same = len(np.intersect1d(left, right, assume_unique=True))
+                linked.append(100 * same >= percent * (len(left) + len(right) - same))
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("set").alias("sa")), "a")
+    both = both.join(sets.select(F.col("sig").alias("b"), F.col("set").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+
+
+def _left_over(rows: DataFrame, sketched: DataFrame, docs: DataFrame, roots: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) within long lists that join what the pivots left in different components, judged on full sets.
+
+    Lists with the same central member form one bundle, so a family of copies meets about once.  Members of bundles that
+    are not one component are open.  A set of n shingles that is linked with another shares p percent of its shingles with
+    it, so of all but so many of them, taken in one order for all sets, at least one is shared: these are its leads.
+    The order puts the shingles first that few open sets have; so a line that many texts hold is no lead of a text with
+    enough words of its own.  Leads of few sets give pairs.  Sets with leads of many sets are nearly all common: they are
+    dealt into blocks and parts by their shingles, and each block meets each part of its bundle in a group of bounded size,
+    which returns a spanning forest of the links between components.  So the output grows with the members, not their pairs.
     """
     long = rows.where("long")
     central = long.groupBy("v").agg(F.min(F.struct("rare", "n", "sig")).alias("c")).select("v", F.col("c.sig").alias("p"))
-    members = long.join(central, "v").select("p", "sig", "n").distinct()
+    members = long.join(shared.written(central, "central"), "v").select("p", "sig", "n").distinct()
     members = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("p", "sig", "n", F.coalesce("root", "sig").alias("root"))
     members = shared.written(members, "members")
     sizes = members.groupBy("p", "root").agg(F.count("*").alias("c"))
     bundles = sizes.groupBy("p").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top")).where("m > top")
-    counts = (F.ceil((F.col("m") - F.col("top")) / BLOCK).alias("blocks"), F.ceil(F.col("m") / PART).alias("parts"))
-    bundles = shared.written(bundles.select("p", "main", *counts), "open")
-    members = members.join(bundles, "p")
+    bundles = shared.written(bundles.select("p", "main"), "bundles")
+    members = shared.written(members.join(bundles, "p"), "open")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(s.astype(np.uint32)).tobytes() for s in words.shingle_sets(batch.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(sets, pa.binary())], names=["sig", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(words.shingle_sets(batch.column("text"), width), pa.list_(pa.int64()))], names=["sig", "set"])
 
     texts = _class_texts(members.select("sig").distinct(), sketched, docs)
-    sets = shared.written(texts.mapInArrow(hashes, "sig binary, set binary"), "sets")
-    members = members.join(sets, "sig").withColumn("h", F.xxhash64("sig"))
-    kept = ["p", "sig", "n", "root", "set", "block", "part", "asks"]
+    sets = shared.written(texts.mapInArrow(hashes, "sig binary, set array<long>"), "sets")
+
+    values = sets.select("sig", F.explode("set").alias("x"))
+    counts = shared.written(values.groupBy("x").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    own = sets.select("sig", F.size("set").alias("n"), F.explode("set").alias("x")).join(counts, "x").groupBy("sig", "n")
+    own = own.agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("xs"))
+    reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("xs"))
+    leads = own.select("sig", "n", F.explode(F.slice("xs", F.lit(1), F.greatest(F.lit(0), reach).cast("int"))).alias("x")).select("sig", "n", "x.df", "x.x")
+    leads = shared.written(leads, "leads")
+
+    asks = members.where("root != main").select("sig").distinct()
+    at = members.select("sig", "root").distinct()
+    few = leads.where(F.col("df") <= RARE).select("sig", "n", "x").join(at, "sig")
+    mine = few.join(asks, "sig", "left_semi").select("x", F.col("sig").alias("a"), "n", F.col("root").alias("ra"))
+    other = few.select("x", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
+    pairs = mine.join(other, "x").where(f"ra != rb and 100 * least(n, m) >= {percent} * greatest(n, m)")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = _linked_sets(pairs, sets, percent)
+
+    common = leads.where(F.col("df") > RARE).select("sig").distinct()
+    members = shared.written(members.join(common, "sig").drop("n").join(sets, "sig").withColumn("h", F.xxhash64("sig")), "common")
+    if members.isEmpty():
+        return found
+    weigh = lambda what, unit: F.greatest(F.lit(1), F.ceil(F.sum(what) / unit))
+    dealt = members.groupBy("p").agg(weigh(F.when(F.col("root") != F.col("main"), F.size("set")), BLOCK).alias("blocks"), weigh(F.size("set"), PART).alias("parts"), F.count_if(F.col("root") != F.col("main")).alias("open"))
+    members = members.join(shared.written(dealt.where("open > 0").drop("open"), "dealt"), "p")
+    kept = ["p", "sig", "root", "set", "block", "part", "asks"]
     types = {c: F.col(c).cast("long") for c in ("block", "part")}
     asks = members.where("root != main").withColumn("block", F.pmod("h", "blocks")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     meets = members.withColumn("part", F.pmod("h", "parts")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -195,8 +243,7 @@ def _left_over(rows: DataFrame, sketched: DataFrame, docs: DataFrame, roots: Dat
         asking = group.filter(group.column("asks"))
         meeting = group.filter(pa.compute.invert(group.column("asks")))
         if len(asking) and len(meeting):
-            left = [np.frombuffer(x, np.uint32) for x in asking.column("set").to_pylist()]
-            right = [np.frombuffer(x, np.uint32) for x in meeting.column("set").to_pylist()]
+            left, right = ([x.values.to_numpy() for x in t.column("set")] for t in (asking, meeting))
             size = np.array([len(x) for x in right])
             starts = np.r_[0, np.cumsum(size)[:-1]]
             known, code = np.unique(np.concatenate(right), return_inverse=True)
@@ -224,7 +271,7 @@ def _left_over(rows: DataFrame, sketched: DataFrame, docs: DataFrame, roots: Dat
                         out.append((min(sig, sig_r[hit[j]]), max(sig, sig_r[hit[j]])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
-    return dealt.groupBy("p", "block", "part").applyInArrow(run, "a binary, b binary").distinct()
+    return found.unionByName(dealt.groupBy("p", "block", "part").applyInArrow(run, "a binary, b binary")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int = K) -> DataFrame:
@@ -234,7 +281,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int =
     reached through links of 100 * intersection >= percent * union, its own included) and kept (doc_id = component_id).
 
     A null or blank text has an empty set and is linked with nothing.  A text of fewer than `width` words is one shingle.
-    Rows with equal sets are linked.  Repeated rows stay and get the same component.  A row with a null doc_id takes part;
+    Rows with equal sets are linked.  Which of several equally near partners is compared first changes the work, not the
+    components.  Repeated rows stay and get the same component.  A row with a null doc_id takes part;
     it is kept only if no row of its component has a doc_id.  An empty table gives an empty result.  Other columns are ignored.
     """
     sketched = shared.written(sketches(docs, width, k), "sketches")
@@ -247,14 +295,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int =
     if not rows.where("long").isEmpty():
         more = shared.written(_left_over(rows, sketched, docs, roots, percent, width), "more")
         if not more.isEmpty():
-            nodes = more.select(F.col("a").alias("sig")).union(more.select("b")).distinct()
-            texts = shared.written(_class_texts(nodes, sketched, docs), "texts")
-            links = links.unionByName(_verified(more, texts, percent, width))
+            links = links.unionByName(more)
             roots = shared.written(_roots(links), "roots")
     classes = reps.select("sig", "label").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
     linked = classes.where("root is not null")
     least = linked.groupBy("root").agg(F.min("label").alias("least"))
     labels = classes.where("root is null").select("sig", F.col("label").alias("least")).unionByName(linked.join(least, "root").select("sig", "least"))
+    labels = shared.written(labels, "labels")  # a set of very many copies can then be split in the join
     empty = F.col("sig").isNull()
     return (
         sketched.select("doc_id", "th", F.col("n").alias("n_shingles"), "sig")

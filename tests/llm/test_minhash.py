@@ -69,3 +69,45 @@ def test_one_stays(spark):
 
 def test_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_what_pivots_leave_apart(spark, monkeypatch):
+    """Families around one common text whose members are linked with one another, not with the whole family."""
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(9000)]
+    base = [r.choice(vocabulary) for _ in range(120)]
+    rows = []
+    for g in range(30):
+        half = list(base)
+        for _ in range(4):
+            half[r.randrange(len(half))] = r.choice(vocabulary)
+        for _ in range(4):
+            w = list(half)
+            if r.random() < 0.6:
+                w[r.randrange(len(w))] = r.choice(vocabulary)
+            rows.append((len(rows), " ".join(w)))
+    want = brute(rows, 85)
+    assert found(spark, rows, 85) == want
+    for rare in (0, 1000):  # all by blocks, all by leads
+        monkeypatch.setattr(minhash, "RARE", rare)
+        monkeypatch.setattr(minhash, "BLOCK", 700)
+        monkeypatch.setattr(minhash, "PART", 1500)
+        assert found(spark, rows, 85) == want
+
+
+def test_a_common_line_gives_no_leads(spark):
+    r = random.Random(7)
+    line = [f"l{i}" for i in range(30)]
+    rows = [(i, " ".join([*line, *[f"w{r.randrange(10**6)}" for _ in range(10)]])) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(20)]
+    assert found(spark, rows, 85) == brute(rows, 85)
+
+
+def test_texts_beyond_one_piece(spark, monkeypatch):
+    from layertext.llm import words
+
+    monkeypatch.setattr(words, "PIECE", 300)
+    r = random.Random(3)
+    base = [f"v{r.randrange(5000)}" for _ in range(900)]
+    rows = [(i, " ".join(base[: 900 - 20 * i])) for i in range(4)] + [(9, "x" * 1000), (10, "x" * 1000)]
+    assert found(spark, rows, 85) == brute(rows, 85)
