@@ -51,11 +51,35 @@ def search(logits: DataFrame, k: int = 5, steps: int = 4) -> DataFrame:
     return state.select("vec_id", F.array_join(F.transform(top["tokens"], lambda t: t.cast("string")), " ").alias("tokens"), top["score"].alias("score"), top["ended"].alias("ended"))
 
 
-def detokenised(tokens: DataFrame) -> DataFrame:
-    """Tokens up to the end token, as letters; start tokens are skipped and token 3 is a space."""
-    rows = tokens.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("step", "tok"))).alias("t"))
-    toks = F.col("t.tok")
-    end = F.array_position(toks, F.lit(END))
-    kept = F.when(end > 0, F.slice(toks, F.lit(1), (end - 1).cast("int"))).otherwise(toks)
-    letters = F.transform(F.filter(kept, lambda t: t != START), lambda t: F.when(t == 3, F.lit(" ")).otherwise(F.char(t + 97)))
+#: Fixed values of a dictionary: the entries that begin and end a text, and the one that is a space.
+START_ENTRY, END_ENTRY, SPACE_ENTRY = "<S>", "</S>", "<SP>"
+#: Entries of a dictionary that is broadcast.
+ENTRIES = 200_000
+
+
+def detokenised(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(vec_id, text) of tokens (vec_id, step, tok): their entries in the dictionary (tok, char) up to the end, in order.
+
+    Start entries are skipped and space entries are spaces.  A token without an entry is left out.
+    """
+    small = dictionary.limit(ENTRIES + 1).count() <= ENTRIES
+    rows = tokens.join(F.broadcast(dictionary) if small else dictionary, "tok", "left")
+    rows = rows.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("step", "char"))).alias("t"))
+    chars = F.col("t.char")
+    end = F.array_position(chars, F.lit(END_ENTRY))
+    kept = F.when(end > 0, F.slice(chars, F.lit(1), (end - 1).cast("int"))).otherwise(chars)
+    letters = F.transform(F.filter(kept, lambda c: c != START_ENTRY), lambda c: F.when(c == SPACE_ENTRY, F.lit(" ")).otherwise(c))
     return rows.select("vec_id", F.array_join(letters, "").alias("text"))
+
+
+def folded_colours(tokens: DataFrame) -> DataFrame:
+    """(vec_id, fg, bg) of tokens (vec_id, fg, bg, has_fg, has_bg): the mean colours of a text from those of its tokens.
+
+    fg and bg are three numbers from 0 to 1, which become whole levels.  A token without a foreground has no part in the
+    mean; one without a background counts with its foreground there.  Means are cut to whole levels of 0..255; none is 0.
+    """
+    level = lambda c, i: (F.get(c, F.lit(i)) * 255).cast("int")
+    mean = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.coalesce(F.avg(x), F.lit(0.0)).cast("int")))
+    front = [mean(F.when(F.col("has_fg"), level("fg", i))) for i in range(3)]
+    back = [mean(F.when(F.col("has_bg"), level("bg", i)).otherwise(level("fg", i))) for i in range(3)]
+    return tokens.groupBy("vec_id").agg(F.array(*front).alias("fg"), F.array(*back).alias("bg"))

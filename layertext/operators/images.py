@@ -41,6 +41,18 @@ def fitted(image: np.ndarray, side: int, multiple: int = 256) -> tuple[np.ndarra
     return np.pad(small, pad + [(0, 0)] * (image.ndim - 2)), scale
 
 
+def normalised(image: np.ndarray) -> np.ndarray:
+    """What a network takes: levels of 0..255 as -1..1, and [channel, height, width]."""
+    return np.moveaxis(image.astype(np.float32) / np.float32(127.5) - 1, 2, 0)
+
+
+def mask_levels(scores: np.ndarray, pad: tuple[int, int]) -> np.ndarray:
+    """A mask of scores at twice its size, without the padding (below, right), as levels of 0..255."""
+    h, w = scores.shape
+    large = resized(scores, 2 * h, 2 * w)[: 2 * h - pad[0], : 2 * w - pad[1]]
+    return np.clip(large * 255, 0, 255).astype(np.uint8)
+
+
 def bordered(image: np.ndarray, least: int = 400) -> np.ndarray:
     """The image in the top left of a black square of at least that side."""
     h, w = image.shape[:2]

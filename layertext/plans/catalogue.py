@@ -345,7 +345,8 @@ def text_wrap_mono(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LOGITS}, t AS (SELECT *, row_number() OVER (PARTITION BY vec_id, step ORDER BY lg DESC, tok) AS r FROM logits), s AS (SELECT *, min(CASE WHEN tok = 2 THEN step END) OVER (PARTITION BY vec_id) AS stop FROM t WHERE r = 1) SELECT vec_id, coalesce(string_agg(CASE WHEN tok = 3 THEN ' ' ELSE chr(tok + 97) END, '' ORDER BY step) FILTER (tok <> 1 AND (stop IS NULL OR step < stop)), '') AS text FROM s GROUP BY 1")
 def detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return beam.detokenised(beam.top_tokens(logits(spark, sf_dir), 1))
+    entries = [(i, {1: beam.START_ENTRY, 2: beam.END_ENTRY, 3: beam.SPACE_ENTRY}.get(i, chr(97 + i))) for i in range(16)]
+    return beam.detokenised(beam.top_tokens(logits(spark, sf_dir), 1), spark.createDataFrame(entries, "tok int, char string"))
 
 
 @query(f"WITH {PIXELS} SELECT vec_id, count(*) FILTER (p > 127) AS n_over, CAST(sum(p) FILTER (p > 127) AS BIGINT) AS sum_over, round(avg(p), 6) AS mean_p FROM pixels GROUP BY 1")
@@ -396,15 +397,20 @@ def beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beam.search(logits(spark, sf_dir))
 
 
-@query("SELECT vec_id, CAST(greatest(0, least(255, trunc(coalesce(avg(e) FILTER (f), 0) * 512 + 128))) AS INTEGER) AS fg, CAST(greatest(0, least(255, trunc(coalesce(avg(e) FILTER (NOT f), avg(e) FILTER (f), 0) * 512 + 128))) AS INTEGER) AS bg FROM (SELECT vec_id, CAST(embedding[i + 1] AS DOUBLE) AS e, embedding[i + 1] > embedding[(i + 1) % 64 + 1] AS f FROM (SELECT *, unnest(range(64)) AS i FROM embeddings)) GROUP BY 1")
+# a token's colours are those 16 and 32 components on; its flags compare it with the next two
+_TOKENS = """c AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, unnest(range(64)) AS i FROM embeddings),
+t AS (SELECT vec_id, e[i + 1] > e[(i + 1) % 64 + 1] AS has_fg, e[i + 1] > e[(i + 2) % 64 + 1] AS has_bg, list_transform([0, 16, 32], lambda k: trunc((e[(i + k) % 64 + 1] + 1) / 2 * 255)) AS fg, list_transform([0, 16, 32], lambda k: trunc((e[(i + k + 1) % 64 + 1] + 1) / 2 * 255)) AS bg FROM c)"""
+_FOLDED = ", ".join(f"CAST(greatest(0, least(255, trunc(coalesce(avg({x}), 0)))) AS INTEGER) AS {c}_{n}" for c, of in (("fg", "CASE WHEN has_fg THEN fg[{0}] END"), ("bg", "CASE WHEN has_bg THEN bg[{0}] ELSE fg[{0}] END")) for i, n in enumerate("rgb", 1) for x in [of.format(i)])
+
+
+@query(f"WITH {_TOKENS} SELECT vec_id, {_FOLDED} FROM t GROUP BY 1")
 def color_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"), "embedding")
-    f = F.col("e") > F.get("embedding", (F.col("i") + 1) % F.size("embedding"))
-    e = F.col("e").cast("double")
-    front, back = F.avg(F.when(f, e)), F.avg(F.when(~f, e))
-    rows = cells.groupBy("vec_id").agg(F.coalesce(front, F.lit(0.0)).alias("a"), F.coalesce(back, front, F.lit(0.0)).alias("b"))
-    level = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), (F.col(c) * 512 + 128).cast("int")))
-    return rows.select("vec_id", level("a").alias("fg"), level("b").alias("bg"))
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", e.alias("e"), F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("i"))
+    at = lambda k: F.get("e", (F.col("i") + k) % F.size("e"))
+    colour = lambda first: F.array(*[(at(first + k) + 1) / 2 for k in (0, 16, 32)])
+    tokens = rows.select("vec_id", colour(0).alias("fg"), colour(1).alias("bg"), (at(0) > at(1)).alias("has_fg"), (at(0) > at(2)).alias("has_bg"))
+    return beam.folded_colours(tokens).select("vec_id", *[F.col(c)[i].alias(f"{c}_{n}") for c in ("fg", "bg") for i, n in enumerate("rgb")])
 
 
 @query(f"WITH {LINES} SELECT page_id, line_id, round((y - cy) * sin(radians(deg - 90)) + (x - cx) * cos(radians(deg - 90)) + cx, 4) AS rx, round((y - cy) * cos(radians(deg - 90)) - (x - cx) * sin(radians(deg - 90)) + cy, 4) AS ry FROM lines")

@@ -43,6 +43,13 @@ def decoded(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("n_channels"), "data", error.alias("error"))
 
 
+def checked(files: DataFrame, digests: DataFrame) -> DataFrame:
+    """files (path, content) with digest, the SHA-256 of the content, and intact: whether digests (path, expected) has the same
+    for it; null where it has none.  Digests are compared without regard to case."""
+    rows = files.withColumn("digest", F.sha2("content", 256)).join(digests, "path", "left")
+    return rows.withColumn("intact", F.col("digest") == F.lower("expected")).drop("expected")
+
+
 def collisions(images: DataFrame) -> DataFrame:
     """images (path, base), with the number of images that would write to the same output."""
     return images.withColumn("same_output", F.count("*").over(Window.partitionBy("base")))

@@ -63,3 +63,54 @@ def test_segment_without_length_and_tiles(spark):
     n = [F.lit(v) for v in (3, 4, 0, 0, 0, 0)]
     row = spark.range(1).select(geometry.segment_distance(*n).alias("far"), geometry.needs_tiles(F.lit(100), F.lit(700), 256).alias("tiles"), geometry.needs_tiles(F.lit(100), F.lit(300), 100).alias("equal")).first()
     assert (row.far, row.tiles, row.equal) == (5.0, True, False)
+
+
+def test_a_single_file_of_any_name_is_taken(spark, tmp_path):
+    folder_of(tmp_path)
+    (tmp_path / "page").write_bytes(png(5, 3))
+    assert [r.base for r in files.listed(spark, str(tmp_path / "page")).collect()] == ["page"]
+    assert [(r.width, r.height) for r in files.decoded(spark, str(tmp_path / "page")).collect()] == [(5, 3)]
+    assert "page" not in {r.base for r in files.listed(spark, str(tmp_path)).collect()}
+
+
+def test_digests_are_compared(spark, tmp_path):
+    import hashlib
+
+    folder_of(tmp_path)
+    rows = files.listed(spark, str(tmp_path)).where("base = 'p2'").select("path", "content")
+    path = rows.first().path
+    for expected, want in ((hashlib.sha256(png(5, 3)).hexdigest().upper(), True), ("00", False)):
+        assert [r.intact for r in files.checked(rows, spark.createDataFrame([(path, expected)], "path string, expected string")).collect()] == [want]
+
+
+def test_dictionary_and_texts(spark, tmp_path):
+    from layertext.operators import beam
+    from layertext.sources import dictionary
+
+    (tmp_path / "d.txt").write_bytes("<S>\n</S>\r\n<SP>\n漢\n\nend".encode())
+    entries = dictionary.load(spark, str(tmp_path / "d.txt"))
+    assert [r.char for r in entries.orderBy("tok").collect()] == ["<S>", "</S>", "<SP>", "漢", "", "en"]
+    tokens = spark.createDataFrame([(1, s, t) for s, t in enumerate([0, 3, 2, 5, 1, 3])] + [(2, 0, 4), (2, 1, 99)], "vec_id long, step int, tok int")
+    assert {r.vec_id: r.text for r in beam.detokenised(tokens, entries).collect()} == {1: "漢 en", 2: ""}
+
+
+def test_colours_of_tokens(spark):
+    from layertext.operators import beam
+
+    rows = [(1, [0.5, 0.0, 1.0], [0.1, 0.2, 0.3], True, False), (1, [0.25, 1.0, 1.0], [0.9, 0.9, 0.9], False, True), (2, [0.1] * 3, [0.2] * 3, False, True)]
+    df = spark.createDataFrame(rows, "vec_id long, fg array<double>, bg array<double>, has_fg boolean, has_bg boolean")
+    got = {r.vec_id: (r.fg, r.bg) for r in beam.folded_colours(df).collect()}
+    assert got == {1: ([127, 0, 255], [(127 + 229) // 2, 229 // 2, (255 + 229) // 2]), 2: ([0, 0, 0], [51, 51, 51])}
+
+
+def test_what_a_network_takes():
+    import numpy as np
+
+    from layertext.operators import images
+
+    image = np.zeros((2, 3, 3), np.uint8)
+    image[0, 0] = [255, 0, 51]
+    got = images.normalised(image)
+    assert got.shape == (3, 2, 3) and got[0, 0, 0] == 1 and got[1, 0, 0] == -1 and abs(got[2, 0, 0] + 0.6) < 1e-6
+    mask = images.mask_levels(np.full((4, 6), 2.0), (2, 0))
+    assert mask.shape == (6, 12) and (mask == 255).all()
