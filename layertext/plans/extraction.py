@@ -4,6 +4,8 @@ Ports are plain functions given by the caller, as no trained network can be had
 
 - scores(image) -> [height, width] of 0..1; for want of a network images.darkness;
 - read(strip) -> (text, probability, foreground, background), colours as three numbers each; has no stand-in;
+- read_many(strips, widths) -> a list of the same, for a network that takes a batch: BATCH strips of the narrowest, then the
+  next, side by side in one array that is black right of each; without it they are read one by one;
 - smooth(image) -> image, before detection of an image that is not tiled; images.bilateral;
 - paint(image, mask) -> image; for want of a network images.filled;
 - correct(text, lang) -> text, as Columns; leaves texts as they are unless given.
@@ -13,6 +15,7 @@ An image that cannot be decoded or on which a port fails gets an error and no ou
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,6 +32,9 @@ from layertext.sources import layered, scratch
 
 Reader = Callable[[np.ndarray], tuple[str, float, tuple[int, int, int], tuple[int, int, int]]]
 
+#: Strips that are read at once.
+BATCH = 16
+QUADS = "page_id string, line_id int, quad array<struct<x:int,y:int>>, width int, height int, error string"
 LINES = "page_id string, line_id int, quad array<struct<x:int,y:int>>, prob double, txt string, fg array<int>, bg array<int>, width int, height int, error string"
 REGION = "text string, x int, y int, width int, height int, angle double, polygon array<array<int>>, font_size int, fg_color array<int>, bg_color array<int>, bold boolean, italic boolean, direction string, alignment string, source_lang string, confidence double, line_spacing double, letter_spacing double, text_corrected string"
 
@@ -40,6 +46,7 @@ class Ports:
     paint: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = images.filled
     smooth: Callable[[np.ndarray], np.ndarray] = images.bilateral
     correct: Callable[[Column, Column], Column] | None = None
+    read_many: Callable[[np.ndarray, list[int]], list[tuple]] | None = None
 
 
 @dataclass(frozen=True)
@@ -58,8 +65,8 @@ def pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return np.repeat(image, 3, axis=2) if channels == 1 else image[..., 2::-1].copy()
 
 
-def found_lines(image: np.ndarray, ports: Ports, limits: Limits) -> list[tuple]:
-    """(quad, probability, text, foreground, background) of an image's lines, read one by one."""
+def found_quads(image: np.ndarray, ports: Ports, limits: Limits) -> list[np.ndarray]:
+    """The quads of an image's lines."""
     framed = images.bordered(image) if min(image.shape[:2]) < 400 else image
     scale = min(limits.side / max(framed.shape[:2]), 1)
     tiled = max(framed.shape[:2]) / limits.side > 2.5 and max(framed.shape[:2]) > 3 * min(framed.shape[:2])
@@ -78,9 +85,25 @@ def found_lines(image: np.ndarray, ports: Ports, limits: Limits) -> list[tuple]:
         quad = np.clip(quad, 0, [width, height]).astype(int)
         sides = np.hypot(*(np.roll(quad, -1, axis=0) - quad).T)
         if sides[0] * sides[1] > 16:
-            ordered, vertical = corner_order(quad)
-            word, prob, fg, bg = ports.read(images.strip(image, ordered, vertical))
-            out.append((quad, prob, word, fg, bg))
+            out.append(quad)
+    return out
+
+
+def read_strips(strips: list[np.ndarray], ports: Ports) -> list[tuple[int, tuple]]:
+    """(strip, what was read) in the order of the strips' widths, in which they are read."""
+    order = sorted(range(len(strips)), key=lambda i: strips[i].shape[1])
+    out: list[tuple[int, tuple]] = []
+    for at in range(0, len(order), BATCH):
+        part = order[at : at + BATCH]
+        if ports.read_many is None:
+            found = [ports.read(strips[i]) for i in part]
+        else:
+            widths = [strips[i].shape[1] for i in part]
+            held = np.zeros((len(part), strips[part[0]].shape[0], max(widths) + 7, 3), np.uint8)
+            for k, i in enumerate(part):
+                held[k, :, : widths[k]] = strips[i]
+            found = ports.read_many(held, widths)
+        out += zip(part, found, strict=True)
     return out
 
 
@@ -94,27 +117,67 @@ def corner_order(quad: np.ndarray) -> tuple[np.ndarray, bool]:
     return np.array([first[0], first[1], last[1], last[0]] if vertical else [first[0], last[0], last[1], first[1]]), vertical
 
 
-def lines(decoded: DataFrame, ports: Ports, limits: Limits = Limits()) -> DataFrame:
-    """The lines of each image of files.decoded(); an image without lines, or with an error, has one row with a null line_id."""
+def detected(decoded: DataFrame, ports: Ports, limits: Limits = Limits()) -> DataFrame:
+    """The quads of each image of files.decoded(); an image without any, or with an error, has one row with a null line_id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
             for r in batch.itertuples():
                 if isinstance(r.error, str):
-                    out.append((r.path, None, None, None, None, None, None, None, None, r.error))
+                    out.append((r.path, None, None, None, None, r.error))
+                    continue
+                try:
+                    size = (int(r.width), int(r.height))
+                    got = found_quads(pixels(r.data, size[1], size[0], int(r.n_channels)), ports, limits)
+                    out += [(r.path, i, [dict(x=int(x), y=int(y)) for x, y in q], *size, None) for i, q in enumerate(got)] or [(r.path, None, None, *size, None)]
+                except Exception as e:  # one image must not stop the others
+                    out.append((r.path, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield framed_rows(out, QUADS)
+
+    return decoded.mapInPandas(run, QUADS)
+
+
+def framed_rows(rows: list[tuple], schema: str) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype(object)
+    return frame.where(frame.notna(), None)
+
+
+def reading_groups(found: DataFrame) -> DataFrame:
+    """(page_id, strips, failed) of the images of detected(): their quads in the order of the groups that read in one direction,
+    each with the direction of its group; and the error."""
+    rows = quads.measured(found.where("line_id is not null").select("page_id", "line_id", "quad"))
+    rows = rows.withColumn("direction", F.when(F.col("vertical"), "v").otherwise("h"))
+    placed = regions.reading_order(graph.labelled(rows, quads.edges(rows, pairs.READ)))
+    strips = placed.groupBy("page_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("comp", "place", "quad", "dir")))).alias("strips"))
+    return found.groupBy("page_id").agg(F.max("error").alias("failed")).join(strips, "page_id", "left")
+
+
+def lines(decoded: DataFrame, ports: Ports, limits: Limits = Limits()) -> DataFrame:
+    """The lines of each image of files.decoded(), as they are read; an image without lines, or with an error, has one row with
+    a null line_id.  The quads are written once, so that no image is detected again for the groups."""
+    rows = decoded.join(reading_groups(scratch.written(detected(decoded, ports, limits), "quads")), F.col("path") == F.col("page_id"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.itertuples():
+                if isinstance(r.failed, str):
+                    out.append((r.path, None, None, None, None, None, None, None, None, r.failed))
                     continue
                 try:
-                    got = found_lines(pixels(r.data, int(r.height), int(r.width), int(r.n_channels)), ports, limits)
                     size = (int(r.width), int(r.height))
-                    rows = [(r.path, i, [dict(x=int(x), y=int(y)) for x, y in q], float(p), t, [int(c) for c in fg], [int(c) for c in bg], *size, None) for i, (q, p, t, fg, bg) in enumerate(got)]
-                    out += rows or [(r.path, None, None, None, None, None, None, *size, None)]
+                    image = pixels(r.data, size[1], size[0], int(r.n_channels))
+                    found = json.loads(r.strips) if isinstance(r.strips, str) else []
+                    corners = [np.array([[p["x"], p["y"]] for p in x["quad"]]) for x in found]
+                    strips = [images.strip(image, corner_order(q)[0], x["dir"] == "v") for q, x in zip(corners, found, strict=True)]
+                    got = [(i, [dict(x=int(x), y=int(y)) for x, y in corners[k]], float(p), t, [int(c) for c in fg], [int(c) for c in bg]) for i, (k, (t, p, fg, bg)) in enumerate(read_strips(strips, ports))]
+                    out += [(r.path, *x[:2], *x[2:], *size, None) for x in got] or [(r.path, None, None, None, None, None, None, *size, None)]
                 except Exception as e:  # one image must not stop the others
                     out.append((r.path, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in LINES.split(", ")]).astype(object)
-            yield frame.where(frame.notna(), None)
+            yield framed_rows(out, LINES)
 
-    return decoded.mapInPandas(run, LINES)
+    return rows.mapInPandas(run, LINES)
 
 
 def merged(found: DataFrame, limits: Limits = Limits(), correct: Callable[[Column, Column], Column] | None = None) -> DataFrame:
@@ -194,8 +257,6 @@ def write(decoded: DataFrame, documents: DataFrame, folder: str, ports: Ports, l
     rows = decoded.join(names, "path").join(plan, "path")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
         os.makedirs(folder, exist_ok=True)
         for batch in batches:
             out = []

@@ -118,15 +118,32 @@ def test_images_to_documents(spark, tmp_path):
     assert kinds["blank.png"] == ["json", "psd"]
     outputs = {o.rpartition(".")[2]: o for o in rows["two.png"].outputs}
     found = json.loads(open(outputs["json"], encoding="utf-8").read())
-    assert found["image_width"] == 600 and [r["direction"] for r in found["regions"]] == ["h", "v"]
-    first = found["regions"][0]
+    # lines are numbered as they are read, the narrowest strips first
+    assert found["image_width"] == 600 and [r["direction"] for r in found["regions"]] == ["v", "h"]
+    first = found["regions"][1]
     assert first["fg_color"] == [10, 20, 30] and first["text"].count("w") == 2 and first["direction"] == "h"
     # a region's confidence is weighted by its share of the areas of the whole page, so the regions' multiply to the lines'
     assert np.prod([r["confidence"] for r in found["regions"]]) == pytest.approx(0.9, abs=1e-5)
     assert first["x"] < 100 < 300 < first["x"] + first["width"] and len(first["polygon"]) == 4
     data = open(outputs["psd"], "rb").read()
     assert data[:4] == b"8BPS" and struct.unpack(">HII", data[12:22]) == (3, 500, 600)
-    assert all(n in data for n in (b"Original Image", b"Inpainted (Text Removed)", b"Text Layers", b"Text 1: w"))
+    assert all(n in data for n in (b"Original Image", b"Inpainted (Text Removed)", b"Text Layers", b"Text 2: w"))
     clean = {r.path: r for r in files.decoded(spark, target).collect()}
     kept = next(r for p, r in clean.items() if outputs["png"].rpartition("/")[2] in p)
     assert extraction.pixels(kept.data, kept.height, kept.width, kept.n_channels).min() == 255
+
+
+def test_strips_are_read_in_batches_by_width():
+    strips = [np.full((48, 10 + 7 * (i % 20), 3), i, np.uint8) for i in range(40)]
+    seen = []
+
+    def many(held, widths):
+        assert held.shape[2] == max(widths) + 7 and len(held) <= 16 and sorted(widths) == widths
+        assert all(not held[k, :, w:].any() for k, w in enumerate(widths))
+        seen.append(len(held))
+        return [(str(int(x[0, 0, 0])), 0.9, (0, 0, 0), (0, 0, 0)) for x in held]
+
+    ports = extraction.Ports(read=lambda strip: (str(int(strip[0, 0, 0])), 0.9, (0, 0, 0), (0, 0, 0)))
+    one = extraction.read_strips(strips, ports)
+    assert one == extraction.read_strips(strips, extraction.Ports(read=ports.read, read_many=many)) and seen == [16, 16, 8]
+    assert [i for i, _ in one] == sorted(range(40), key=lambda i: i % 20) and all(t == str(i) for i, (t, *_) in one)
