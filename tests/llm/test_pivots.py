@@ -36,3 +36,16 @@ def test_few(spark):
     check(spark, [(0, [1.0, 2.0])])
     check(spark, [(0, [1.0, 2.0]), (3, [1.0, -2.0]), (50, [0.0, 0.0])])
     check(spark, [])
+
+
+def test_bounds_stop_the_search_of_clustered_vectors(spark, monkeypatch):
+    r = random.Random(2)
+    monkeypatch.setattr(pivots, "ANNULI", 6)
+    centres = [[r.gauss(0, 1) for _ in range(16)] for _ in range(24)]
+    rows = [(i, [c + r.gauss(0, 0.03) for c in r.choice(centres)]) for i in range(3000)]
+    share: list = []
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(x) for x in pivots.top_products(df, searched=share).collect()) == brute(rows)
+    whole, *rounds = share
+    assert sum(x["vectors"] for x in rounds) < 0.5 * whole["queries"] * whole["vectors"]
+    assert sum(x["cells"] for x in rounds) < 0.5 * whole["queries"] * whole["cells"]
