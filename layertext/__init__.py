@@ -1,0 +1,10 @@
+"""Page images to layered documents, and operators for training data.
+
+Functions that run in Python workers are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

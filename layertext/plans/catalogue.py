@@ -392,7 +392,22 @@ def beam_topk_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beam.top_tokens(logits(spark, sf_dir)).select("vec_id", "step", "tok", "lg", "rank")
 
 
-@query()
+def _beam_sql(k: int = 5, steps: int = 4) -> str:
+    """The steps of the search, one table each: b0 holds the first tokens, c the beams with how many have ended, o what they
+    grow into."""
+    parts = [f"t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, step ORDER BY lg DESC, tok) AS r FROM logits) WHERE r <= {k})"]
+    parts.append(f"b0 AS (SELECT vec_id, r - 1 AS i, [tok] AS toks, lg AS score, tok = {beam.END} AS ended FROM t WHERE step = 0)")
+    for n in range(1, steps):
+        parts += [
+            f"c{n} AS (SELECT *, count(*) FILTER (ended) OVER (PARTITION BY vec_id) AS done FROM b{n - 1})",
+            f"g{n} AS (SELECT c.vec_id, c.i, t.r, list_append(c.toks, CASE WHEN c.ended THEN {beam.END} ELSE t.tok END) AS toks, c.score + CASE WHEN c.ended THEN 0 ELSE t.lg END AS score, c.ended OR t.tok = {beam.END} AS ended FROM c{n} c JOIN t ON c.vec_id = t.vec_id AND t.step = {n} WHERE c.done < {beam.FINISHED})",
+            f"o{n} AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, i, r) - 1 AS n FROM g{n})",
+            f"b{n} AS (SELECT vec_id, n AS i, toks, score, ended FROM o{n} WHERE n < {k} UNION ALL SELECT vec_id, i, toks, score, ended FROM c{n} WHERE done >= {beam.FINISHED})",
+        ]
+    return f"WITH {LOGITS}, {', '.join(parts)} SELECT vec_id, array_to_string(toks, ' ') AS tokens, score, ended FROM b{steps - 1} WHERE i = 0"
+
+
+@query(_beam_sql())
 def beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beam.search(logits(spark, sf_dir))
 
