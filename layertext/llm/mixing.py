@@ -1,7 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 A source whose target is r times its words takes each document floor(r) times for certain.  The rest of the target is
-met by a sample without replacement: document i gets an inclusion probability p_i and the rank
+met by a sample without replacement, in which long documents are more likely than short ones: p_i, the chance that
+document i is included, is in proportion to a power of its words times its weight, and so scaled that the words of the
+rest are expected.  Where p_i would be 1 or more, the document is one more certain copy, and the chances of the others
+are scaled anew to what is left, until all are below 1.  Then document i gets the rank
 [u_i / (1 - u_i)] / [p_i / (1 - p_i)], with u_i hashed from its doc_id, and the least ranks are taken until the words of
 the rest are reached.  So the size of the sample is fixed, counted in words, and reruns agree.
 
@@ -53,6 +56,12 @@ def _sampled(docs: DataFrame, weight: str | None, seed: int) -> dict[str, Column
     return {"__size": word_count(docs["text"]), "__tie": F.xxhash64(docs["doc_id"], docs["text"]), "__u": u, "__weight": factor}
 
 
+def _measured(docs: DataFrame, weight: str | None, power: float, seed: int) -> DataFrame:
+    """source, __size, __tie, __u and __weight of each row and its other columns, the measure being taken of the size."""
+    rows = docs.withColumns(_sampled(docs, weight, seed))
+    return rows.withColumn("__weight", F.col("__weight") * F.pow(F.greatest("__size", F.lit(1)), F.lit(float(power))))
+
+
 def _rank(p: Column, u: Column) -> Column:
     """The Pareto rank, mapped from (0, infinity) to (0, 1)."""
     odds = p / (1 - p)
@@ -61,18 +70,36 @@ def _rank(p: Column, u: Column) -> Column:
 
 
 def _plan(ranked: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
-    """One row a source: source_size, target, whole (certain copies), p (mean inclusion probability), mean, and the cut."""
-    sums = ranked.groupBy("source").agg(F.sum("__size").alias("size"), F.sum(F.col("__size") * F.col("__weight")).alias("weighted"))
-    sums = shared.written(sums, "sources")
-    plan = shared.join_small(sums.select("source", "weighted"), targets(sums, weights, share, most), ["source"])
+    """One row a source: source_size, target, whole (certain copies of all), rest (words that are left for the sample), scale
+    (p_i over the weight, for the documents that are not certain), sure (from this weight on they are), and the cut."""
+    sums = shared.written(ranked.groupBy("source").agg(F.sum("__size").alias("size")), "sources")
+    plan = targets(sums, weights, share, most)
     copies = F.try_divide("target", "source_size")
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(copies + 1e-12)).otherwise(0).cast("int"))
     plan = plan.withColumn("rest", F.round(F.col("target")) - F.col("whole") * F.col("source_size"))
-    plan = plan.withColumn("p", F.when(F.col("rest") > 0, F.try_divide("rest", "source_size")).otherwise(0.0))
-    plan = shared.written(plan.withColumn("mean", F.try_divide("weighted", "source_size")), "plan")
+    plan = shared.written(plan.withColumn("sure", F.lit(float("inf"))), "plan")
+
+    # chances of 1 and more make documents certain, which leaves less for the others, until none is added
+    while True:
+        known = shared.join_small(ranked, plan.select("source", "sure"), ["source"])
+        free = F.col("__weight") < F.col("sure")
+        left = known.groupBy("source").agg(
+            F.sum(F.when(free, F.col("__size") * F.col("__weight"))).alias("weighted"),
+            F.sum(F.when(~free, F.col("__size")).otherwise(0)).alias("certain"),
+            F.max(F.when(free & (F.col("__size") > 0), F.col("__weight"))).alias("heaviest"),
+        )
+        scaled = shared.join_small(plan.drop("weighted", "certain", "heaviest", "scale"), shared.written(left, "left"), ["source"])
+        scaled = scaled.withColumn("scale", F.when(F.col("rest") > F.col("certain"), F.try_divide(F.col("rest") - F.col("certain"), "weighted")).otherwise(0.0))
+        scaled = scaled.withColumn("sure", F.when(F.col("heaviest") * F.col("scale") >= 1, 1 / F.col("scale")).otherwise(F.col("sure")))
+        done = scaled.where(F.col("heaviest") * F.col("scale") >= 1).isEmpty()
+        plan = shared.written(scaled, "plan")
+        if done:
+            break
+    plan = plan.withColumn("rest", F.greatest(F.col("rest") - F.col("certain"), F.lit(0.0))).drop("weighted", "certain", "heaviest")
+    plan = shared.written(plan, "plan")
 
     # a boundary cell holds the rank up to which the words of the rest reach
-    rows = placed(ranked, plan).where("rest > 0").select("source", "rest", F.col("__size").alias("size"), "rank", "__tie")
+    rows = placed(ranked, plan).where("rest > 0 and not certain").select("source", "rest", F.col("__size").alias("size"), "rank", "__tie")
     rows = rows.withColumn("c1", F.floor(F.col("rank") * CELLS)).withColumn("c2", F.floor(F.col("rank") * CELLS * CELLS))
     start = plan.select("source", F.lit(0.0).alias("base"))
     for cell in ("c1", "c2"):
@@ -96,41 +123,45 @@ def _plan(ranked: DataFrame, weights: Sequence[float], share: float, most: float
     low = start.select("source", (F.col("edge") / float(CELLS * CELLS)).alias("low"))
     cuts = shared.join_small(shared.written(cuts, "cuts"), low, ["source"])
     plan = shared.join_small(plan, shared.written(cuts, "cuts"), ["source"], "left")
-    return shared.written(plan.drop("weighted"), "plan")
+    return shared.written(plan, "plan")
 
 
 def placed(ranked: DataFrame, plan: DataFrame) -> DataFrame:
+    """ranked with its source's plan, certain (whether the sample takes it in any case) and its rank."""
     joined = shared.join_small(ranked, plan, ["source"])
-    p = F.least(F.greatest(F.try_divide(F.col("p") * F.col("__weight"), "mean"), F.lit(1e-9)), F.lit(1 - 1e-9))
-    return joined.withColumn("rank", _rank(p, F.col("__u")))
+    p = F.least(F.greatest(F.col("scale") * F.col("__weight"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    certain = (F.col("__weight") >= F.col("sure")) & (F.col("__size") > 0)
+    return joined.withColumns({"certain": F.coalesce(certain, F.lit(False)), "rank": _rank(p, F.col("__u"))})
 
 
 def _copies() -> Column:
     """How often a placed row is taken."""
     cut = (F.col("rank") < F.col("cut_rank")) | ((F.col("rank") == F.col("cut_rank")) & (F.col("__tie") <= F.col("cut_tie")))
     sampled = F.coalesce((F.col("rank") < F.col("low")) | cut, F.lit(False)) & (F.col("__size") > 0)
-    return (F.col("whole") + sampled.cast("int")).cast("int")
+    return (F.col("whole") + (F.col("certain") | sampled).cast("int")).cast("int")
 
 
-def mixture(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, weight: str | None = None, seed: int = 1) -> DataFrame:
+def mixture(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, weight: str | None = None, power: float = 0.5, seed: int = 1) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (copies * size) for each row of docs.
 
-    docs has doc_id, text and source; `weight` may name a column of relative inclusion weights within a source (null: 1).
+    docs has doc_id, text and source; the chance of a document is in proportion to its words to the `power`, times the
+    column that `weight` may name (null: 1).  Documents of equal rank are taken in the order of a hash of doc_id and text.
     A null or blank text has size 0: it never gets a place in the sample, only the certain copies of its source.
     A null source is a source of its own, the last.  Repeated rows count each; those that are equal in doc_id and text
     are taken alike.  An empty table gives an empty result.  Other columns are ignored.
     """
-    needed = docs.select(docs["doc_id"], docs["source"], *[e.alias(c) for c, e in _sampled(docs, weight, seed).items()])
+    needed = _measured(docs, weight, power, seed).select(docs["doc_id"], docs["source"], "__size", "__tie", "__u", "__weight")
     needed = shared.written(needed, "sizes")
     rows = placed(needed, _plan(needed, weights, share, most)).withColumn("copies", _copies())
     return rows.select("doc_id", "source", F.col("__size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("__size")).alias("taken"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, weight: str | None = None, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, weight: str | None = None, power: float = 0.5, seed: int = 1) -> DataFrame:
     """The documents of the mix, each as often as mixture() takes it, with the columns of docs.  Texts are not shuffled."""
-    sampled = [e.alias(c) for c, e in _sampled(docs, weight, seed).items()]
-    needed = shared.written(docs.select(docs["doc_id"], docs["source"], *sampled), "sizes")
+    names = ["__size", "__tie", "__u", "__weight"]
+    needed = shared.written(_measured(docs, weight, power, seed).select("source", *names), "sizes")
     plan = _plan(needed, weights, share, most)
-    rows = placed(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["source"], *sampled), plan)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), "doc_id", "source", "text", *([weight] if weight else []))
+    rows = placed(_measured(whole, weight, power, seed).select("__row", "source", *names), plan)
     rows = rows.withColumn("__copies", _copies()).where("__copies > 0")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select("__row.*")
