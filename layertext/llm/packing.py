@@ -1,62 +1,73 @@
 """Packing documents into batches of a token budget, in length buckets of least padding.
 
-The global histogram of lengths, kept in classes, gives the bucket boundaries by dynamic programming; inside a bucket
-every document is padded to the longest length of the bucket, and a batch takes as many as the budget holds.
+The global histogram of lengths gives the bucket boundaries by dynamic programming, which are the best of all; inside a
+bucket every document is padded to the longest length of the bucket, and a batch takes as many as the budget holds.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from layertext.llm import mixing, shared
 
-#: Lengths that agree in so many leading binary digits, rounded up, share a class: at most 64 classes for each doubling.
-BITS = 7
 #: Parts into which each bucket is dealt to number its documents.
 PARTS = 1024
 
 
-def length_class(length: Column) -> Column:
-    shift = F.greatest(F.length(F.bin(length)) - BITS, F.lit(0))
-    unit = F.pow(F.lit(2.0), shift).cast("long")
-    return F.ceil(length / unit).cast("long") * unit
+def histogram(lengths: DataFrame) -> list[tuple[int, int]]:
+    """(length, documents) of each length of the column `length` above 0, ascending.
 
+    d different lengths have d * (d + 1) / 2 words at least, so the rows are at most the root of twice the corpus' words:
+    some millions at 10^13 words.
+    """
+    rows = lengths.where("length > 0").groupBy("length").agg(F.count("*").alias("n"))
+    return sorted((r.length, r.n) for r in rows.toLocalIterator())
 
-def histogram(lengths: DataFrame) -> list[tuple[int, int, int]]:
-    """(longest, documents, sum of lengths) of each class of the column `length`, ascending; under 64 * 63 rows for any input."""
-    rows = lengths.where("length > 0").groupBy(length_class(F.col("length")).alias("c")).agg(F.max("length").alias("longest"), F.count("*").alias("n"), F.sum("length").alias("s"))
-    return sorted((r.longest, r.n, r.s) for r in rows.collect())
 
+def boundaries(lengths: list[tuple[int, int]], buckets: int) -> list[int]:
+    """The upper lengths of at most `buckets` buckets with the least padding in all.
 
-def boundaries(classes: list[tuple[int, int, int]], buckets: int) -> list[int]:
-    """The upper lengths of at most `buckets` buckets that cut between classes with the least padding in all."""
-    if not classes:
+    best[j] after b rounds is the least sum of padded lengths of the lengths 0..j in b buckets.  A bucket that begins after
+    i and ends at j costs longest[j] * (n[j] - n[i]): for each i a line in longest[j], whose slope falls with i; so the lower
+    hull of the lines is a stack, and each round takes one pass.  All sums are whole numbers.
+    """
+    if not lengths:
         return []
-    longest = np.array([c[0] for c in classes], float)
-    n = np.r_[0, np.cumsum([c[1] for c in classes])].astype(float)
-    size = len(classes)
-    best = longest * n[1:]  # the sum of the lengths is the same for every choice
-    choice = []
+    longest = [x for x, _ in lengths]
+    n = [0]
+    for _, count in lengths:
+        n.append(n[-1] + count)
+    size = len(lengths)
+    best = [longest[j] * n[j + 1] for j in range(size)]
+    choice: list[list[int]] = []
     for _ in range(min(buckets, size) - 1):
-        previous = np.r_[0.0, best]
-        best, cut = np.empty(size), np.empty(size, int)
+        previous, best, cut = [0, *best], [0] * size, [0] * size
+        hull: list[int] = []
+        at = 0
         for j in range(size):
-            cost = previous[: j + 1] + longest[j] * (n[j + 1] - n[: j + 1])
-            cut[j] = int(np.argmin(cost))
-            best[j] = cost[cut[j]]
+            # line i: previous[i] - longest * n[i]; drop lines that the new one makes useless
+            while len(hull) >= 2:
+                a, b = hull[-2], hull[-1]
+                if (previous[j] - previous[a]) * (n[b] - n[a]) <= (previous[b] - previous[a]) * (n[j] - n[a]):
+                    hull.pop()
+                else:
+                    break
+            hull.append(j)
+            at = min(at, len(hull) - 1)
+            while at + 1 < len(hull) and previous[hull[at + 1]] - longest[j] * n[hull[at + 1]] <= previous[hull[at]] - longest[j] * n[hull[at]]:
+                at += 1
+            i = hull[at]
+            best[j], cut[j] = previous[i] + longest[j] * (n[j + 1] - n[i]), i
         choice.append(cut)
     out, j = [], size - 1
     for cut in reversed(choice):
-        out.append(int(longest[j]))
+        out.append(longest[j])
         j = cut[j] - 1
         if j < 0:
             break
     if j >= 0:
-        out.append(int(longest[j]))
+        out.append(longest[j])
     return sorted(set(out))
 
 
@@ -73,17 +84,19 @@ def pack(docs: DataFrame, budget: int = 16_384, buckets: int = 16, length: Colum
     rows = docs.select(docs["doc_id"], found.alias("length"), F.xxhash64(docs["doc_id"], docs["text"]).alias("tie"))
     rows = shared.written(rows, "lengths")  # else every use of a length counts the words again
     ends = boundaries(histogram(rows), buckets)
-    bucket, width = (reduce(lambda rest, i: F.when(F.col("length") <= ends[i], F.lit(v(i))).otherwise(rest), reversed(range(len(ends))), F.lit(None).cast(t)) for v, t in ((lambda i: i, "int"), (lambda i: ends[i], "long")))
+    tops = F.array(*[F.lit(e).cast("long") for e in ends]).cast("array<long>")
+    bucket = F.size(F.filter(tops, lambda e: e < F.col("length")))
     some = F.col("length") > 0
-    rows = rows.withColumn("bucket", F.when(some, bucket)).withColumn("width", F.when(some, width))
+    rows = rows.withColumn("bucket", F.when(some, bucket)).withColumn("width", F.when(some, F.get(tops, F.col("bucket"))))
     rows = rows.withColumn("part", F.pmod("tie", F.lit(PARTS)).cast("int"))
     full = rows.where("length > 0")
     at = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = full.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     offsets = offsets.select(F.col("bucket").alias("b"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(at), F.lit(0)).alias("offset"))
     number = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("length", "doc_id", "tie"))
-    # there is one offset for each bucket and part at most
-    full = full.withColumn("number", number - 1).join(F.broadcast(offsets), (F.col("bucket") == F.col("b")) & (F.col("part") == F.col("p")))
+    # there is one offset for each bucket and part at most: buckets * PARTS rows
+    same = (F.col("bucket") == F.col("b")) & (F.col("part") == F.col("p"))
+    full = full.withColumn("number", number - 1).join(F.broadcast(offsets) if buckets * PARTS <= shared.BROADCAST_ROWS else offsets, same)
     per = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("width")))
     full = full.withColumn("number", F.col("number") + F.col("offset"))
     packed = full.select("doc_id", "length", "bucket", "width", F.floor(F.col("number") / per).alias("batch"), (F.col("number") % per).alias("place"))

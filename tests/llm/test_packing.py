@@ -5,10 +5,10 @@ from collections import defaultdict
 from layertext.llm import packing
 
 
-def padding(classes, ends):
+def padding(lengths, ends):
     total, low = 0, 0
     for e in sorted(ends):
-        total += sum(e * n - s for m, n, s in classes if low < m <= e)
+        total += sum((e - m) * n for m, n in lengths if low < m <= e)
         low = e
     return total
 
@@ -16,13 +16,39 @@ def padding(classes, ends):
 def test_boundaries_are_optimal():
     r = random.Random(5)
     for _ in range(60):
-        lengths = sorted(r.sample(range(1, 100), r.randrange(1, 9)))
-        classes = [(m, k := r.randrange(1, 30), m * k) for m in lengths]
+        sizes = sorted(r.sample(range(1, 100), r.randrange(1, 9)))
+        lengths = [(m, r.randrange(1, 30)) for m in sizes]
         for buckets in (1, 2, 3, 4):
-            got = packing.boundaries(classes, buckets)
-            assert got[-1] == lengths[-1] and len(got) <= buckets
-            best = min(padding(classes, [*c, lengths[-1]]) for n in range(buckets) for c in itertools.combinations(lengths[:-1], min(n, len(lengths) - 1)))
-            assert padding(classes, got) == best
+            got = packing.boundaries(lengths, buckets)
+            assert got[-1] == sizes[-1] and len(got) <= buckets
+            best = min(padding(lengths, [*c, sizes[-1]]) for n in range(buckets) for c in itertools.combinations(sizes[:-1], min(n, len(sizes) - 1)))
+            assert padding(lengths, got) == best
+
+
+def test_boundaries_of_many_lengths_equal_a_plain_table():
+    r = random.Random(8)
+    for size in (60, 200):
+        lengths = [(m, r.choice([1, 1, 5, 1000])) for m in sorted(r.sample(range(1, 10**6), size))]
+        for buckets in (2, 5, 16):
+            best = [padding(lengths[: j + 1], [lengths[j][0]]) for j in range(size)]
+            for _ in range(buckets - 1):
+                # the last bucket begins after i
+                best = [min([best[j], *(best[i] + padding(lengths[i + 1 : j + 1], [lengths[j][0]]) for i in range(j))]) for j in range(size)] if size < 100 else None
+                if best is None:
+                    break
+            got = packing.boundaries(lengths, buckets)
+            if best is not None:
+                assert padding(lengths, got) == best[-1]
+            assert len(got) == min(buckets, size) and padding(lengths, got) <= padding(lengths, [lengths[(i + 1) * size // buckets - 1][0] for i in range(buckets)])
+
+
+def test_padding_of_documents_is_the_least(spark):
+    r = random.Random(6)
+    rows = [(i, "w " * r.choice([3, 130, 131, 150, 200, 900, 905, 2000])) for i in range(120)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), buckets=3).collect()
+    sizes = sorted({x.length for x in out})
+    best = min(sum(min(e for e in ends if e >= x.length) - x.length for x in out) for c in itertools.combinations(sizes[:-1], 2) for ends in [[*c, sizes[-1]]])
+    assert sum(x.width - x.length for x in out) == best
 
 
 def test_batches(spark):
@@ -44,10 +70,3 @@ def test_batches(spark):
         last = max(b for k, b in batches if k == bucket)
         assert len(xs) == per or batch == last and len(xs) <= per
     assert packing.pack(df.limit(0)).collect() == []
-
-
-def test_length_class(spark):
-    from pyspark.sql import functions as F
-
-    rows = spark.range(1, 5000).select("id", packing.length_class(F.col("id")).alias("c")).collect()
-    assert all(x.c >= x.id and x.c <= x.id * 1.02 and (x.id > 127 or x.c == x.id) for x in rows)
