@@ -2,8 +2,8 @@
 
 Rules decide the urls that they fit and thereby label them.  For each host the segments of the paths form a tree.  From
 the root down, each level's segments are generalised: digits become `#`; a node with many children, none of them
-frequent, gets one wildcard branch; labelled branches whose rates of blocked urls don't differ significantly from their
-node's are merged into the wildcard branch.  A template is rejected by its smoothed purity: the share of blocked among
+frequent, gets one wildcard branch; labelled branches whose rates of blocked urls don't differ significantly from that of
+all branches of their node together are similar to one another, and are merged into the wildcard branch.  A template is rejected by its smoothed purity: the share of blocked among
 its labelled urls, drawn towards the same template's share in the whole domain, which is drawn towards a clean prior.
 """
 
@@ -66,7 +66,8 @@ def templates(leaves: DataFrame) -> DataFrame:
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
         child = leaves.groupBy(*node, seg).agg(*sums)
         parent = child.groupBy(*node).agg(F.count("*").alias("k"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")])
-        child = child.join(parent, node)
+        # a host may have a large share of all nodes: written, so that the rows of hot ones can be told and dealt out
+        child = shared.join_small(shared.written(child, "children"), shared.written(parent, "parents"), node)
         variable = (F.col("k") >= CHILDREN) & (F.col("n") <= F.col("all_n") * RARE)
         rate = (F.col("all_blocked") + PRIOR) / (F.col("all_labelled") + 1.0)
         spread = F.sqrt(rate * (1.0 - rate) / F.greatest(F.col("labelled"), F.lit(1)))
@@ -74,7 +75,8 @@ def templates(leaves: DataFrame) -> DataFrame:
         similar = (F.col("labelled") >= LABELLED) & (F.col("labelled") < F.col("all_labelled")) & (off <= spread * DEVIATIONS)
         merged = F.when((F.col(seg) != "") & (variable | similar), F.lit("*")).otherwise(F.col(seg))
         # written, for the next level reads it three times
-        leaves = shared.written(leaves.join(child.select(*node, seg, merged.alias(f"t{d}")), [*node, seg]), "leaves")
+        named = shared.written(child.select(*node, seg, merged.alias(f"t{d}")), "named")
+        leaves = shared.written(shared.join_small(leaves, named, [*node, seg]), "leaves")
     return leaves
 
 
@@ -85,10 +87,10 @@ def judged(leaves: DataFrame) -> DataFrame:
     leaves = leaves.withColumn("domain", domain)
     wide = leaves.groupBy("domain", *levels).agg(F.sum("labelled").alias("dl"), F.sum("blocked").alias("db"))
     own = leaves.groupBy("domain", "host", *levels).agg(F.sum("labelled").alias("hl"), F.sum("blocked").alias("hb"))
-    both = own.join(wide, ["domain", *levels])
+    both = shared.join_small(shared.written(own, "own"), shared.written(wide, "wide"), ["domain", *levels])
     rate = (F.col("db") + PRIOR_WEIGHT * PRIOR) / (F.col("dl") + PRIOR_WEIGHT)
     both = both.withColumn("purity", (F.col("hb") + DOMAIN_WEIGHT * rate) / (F.col("hl") + DOMAIN_WEIGHT))
-    out = leaves.join(both.select("host", *levels, "purity"), ["host", *levels])
+    out = shared.join_small(leaves, shared.written(both.select("host", *levels, "purity"), "purity"), ["host", *levels])
     named = F.concat(F.lit("/"), F.array_join(F.filter(F.array(*levels), lambda s: s != ""), "/"))
     return out.withColumn("template", named).withColumn("method", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
 
