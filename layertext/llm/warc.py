@@ -1,7 +1,7 @@
 """WARC archives: written with segmented records and chunked framing, read back by segment reassembly.
 
 Spark's text writer ends each row with CR LF CR LF, which is how a WARC record ends; so rows of whole records make
-gzip-compressed archives, written by Spark's own committed writer into any store.  Records are cut into segments, so a
+archives, written by Spark's own committed writer into any store.  A file is one gzip member, not one for each record.  Records are cut into segments, so a
 file of FILE_RECORDS records has a bounded size and can be read whole by one task.
 """
 
@@ -92,16 +92,27 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
     Of the rows whose payloads (html in UTF-8; null: empty) are equal and have at least REVISIT_FROM bytes, those with the
     largest page_id become responses and the others revisit records; all other rows become responses.  A null page_id is
-    less than any other.
+    less than any other.  A revisit record names the response that it refers to by its record id.
     """
     shared.small_batches(pages.sparkSession)
     payload = F.encode(F.coalesce(pages["html"].cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("key", F.when(F.octet_length("payload") >= REVISIT_FROM, F.sha2("payload", 256)))
-    same = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("c"), F.max("page_id").alias("newest")).where("c > 1").drop("c")
-    rows = rows.join(shared.written(same, "copies"), "key", "left").withColumn("digest", F.sha1("payload"))
-    rows = rows.withColumn("refers", F.when(~F.coalesce(F.col("page_id") == F.col("newest"), F.lit(False)), F.col("newest")))
-    rows = rows.select("page_id", "url", F.when(F.col("refers").isNull(), F.col("payload")).alias("payload"), "digest", "refers", F.monotonically_increasing_id().alias("number"))
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    large = F.octet_length("payload") >= REVISIT_FROM
+    keys = rows.where(large).select("digest", F.octet_length("payload").alias("bytes"), "page_id")
+    # rows are counted by page first, so that a payload of very many pages is a small group
+    pages_of = keys.groupBy("digest", "bytes", "page_id").agg(F.count("*").alias("c"))
+    same = pages_of.groupBy("digest", "bytes").agg(F.sum("c").alias("c"), F.max(F.struct("page_id", F.col("c").alias("rows"))).alias("x"))
+    same = same.where("c > 1").select("digest", "bytes", F.col("x.page_id").alias("newest"), F.col("x.rows").alias("rows"))
+    same = shared.written(same, "copies")
+    # small payloads have no part in the join; copies are looked up by a payload's digest, however many pages have it
+    joined = shared.join_small(rows.where(large).withColumn("bytes", F.octet_length("payload")), same, ["digest", "bytes"], "left")
+    rows = rows.where(~large).withColumns({"bytes": F.octet_length("payload"), "newest": F.lit(None).cast("long"), "rows": F.lit(None).cast("long")}).unionByName(joined)
+    newest = F.coalesce(F.col("page_id") == F.col("newest"), F.lit(False))
+    rows = rows.withColumn("refers", F.when(~newest, F.col("newest")))
+    # the response that others refer to has an id that they know; any other record's is made unique by its number
+    number = F.when(newest & (F.col("rows") == 1), F.lit(None)).otherwise(F.monotonically_increasing_id())
+    rows = rows.select("page_id", "url", F.when(F.col("refers").isNull(), F.col("payload")).alias("payload"), "digest", "refers", number.alias("number"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,8 +124,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
                     kind, block = "response", f"{_HTTP}Transfer-Encoding: chunked\r\n\r\n".encode() + chunked(payload)
                 else:
                     kind, block = "revisit", f"{_HTTP}\r\n".encode()
-                    headers += [("WARC-Refers-To", f"<urn:layertext:page:{refers}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")]
-                for x in segments(f"urn:layertext:page:{'' if page is None else page}:{number}", headers, kind, block):
+                    headers += [("WARC-Refers-To", f"<{_ident(refers, digest)}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")]
+                for x in segments(_ident(page, digest, number), headers, kind, block):
                     out.append(x)
                     size += len(x)
                 if size > 1 << 22:
@@ -126,8 +137,12 @@ def write_archives(pages: DataFrame, path: str) -> None:
     records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+def _ident(page: int | None, digest: str, number: int | None = None) -> str:
+    return f"urn:layertext:page:{'' if page is None else page}:{digest}{'' if number is None else f':{number}'}"
+
+
 def _page(ident: str | None) -> int | None:
-    """The page in <urn:layertext:page:7:12>."""
+    """The page in <urn:layertext:page:7:digest:12>."""
     text = (ident or "").strip("<>").split(":")
     return int(text[3]) if len(text) > 3 and text[3] else None
 
@@ -209,7 +224,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     The digest is the lower-case SHA-1 of the payload, computed from the bytes that were read.  A revisit record takes
     both from the response that it refers to.  A broken record has a null digest and size.  Null html is an empty
     payload; null urls and page_ids are kept; repeated rows give a record each, and repeated rows of the largest page_id
-    of a payload are all responses; an empty table gives an empty result.  Other columns are ignored.
+    of a payload are all responses, to which a revisit record refers by page and digest; an empty table gives an empty
+    result.  Other columns are ignored.
     """
     spark = pages.sparkSession
     path = shared.new_path(spark, "warc")
@@ -218,10 +234,12 @@ def round_trip(pages: DataFrame) -> DataFrame:
     found = found.select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"))
     found = shared.written(found, "records")
     responses = found.where("record_type = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to")
-    origins = found.where("record_type = 'response'").groupBy(F.col("page_id").alias("origin")).agg(F.max(F.struct("bytes", "sha1", "digest")).alias("o"))
-    revisits = found.where("record_type = 'revisit'").join(origins, F.col("refers_to") == F.col("origin"), "left")
-    right = F.col("o.sha1") == F.col("digest")
-    revisits = revisits.select("page_id", F.when(right, F.col("o.bytes")).alias("payload_bytes"), F.when(right, F.col("o.sha1")).alias("payload_digest"), "record_type", "refers_to")
+    revisits = found.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "digest")
+    asked = shared.written(revisits.select("refers_to", "digest").distinct(), "asked")
+    origins = found.where("record_type = 'response' and sha1 = digest").select(F.col("page_id").alias("refers_to"), "digest", "bytes", "sha1")
+    origins = shared.written(origins.join(asked, ["refers_to", "digest"], "left_semi").distinct(), "origins")
+    revisits = shared.join_small(revisits, origins, ["refers_to", "digest"], "left")
+    revisits = revisits.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to")
     return responses.unionByName(revisits)
 
 
