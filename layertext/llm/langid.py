@@ -19,8 +19,11 @@ from layertext.llm import shared, words
 
 #: Cells of the n-grams of 1, 2 and 3 bytes.
 CELLS = (256, 1 << 14, 1 << 15)
-#: Labelled rows that the classifiers are fitted on, about: a sample by the hash of doc_id.  Every fifth sets the weights.
-SAMPLE = 10_000
+#: Labelled rows of each language that the classifiers are fitted on, about: a sample by the hash of doc_id.  Every fifth
+#: sets the weights.
+SAMPLE = 2_500
+#: A text is rejected whose language loses, for each bit, at least what a margin of 0 does.
+CHANCE = float(np.log(2))
 #: Bytes handled at once.
 PIECE = 1 << 20
 
@@ -29,6 +32,10 @@ _BLANK[65:91] += 32
 _BLANK[[*range(65), *range(91, 97), *range(123, 128)]] = 32
 
 
+#: The columns that identify() adds.
+NEW = ["held_out", "lang_pred", "score", "ambiguous", "loss"]
+
+
 class Model(NamedTuple):
     """langs, codewords [language, bit], log odds [cell, bit] and weights [bit]."""
 
@@ -126,19 +133,22 @@ def _remainder(mod: int) -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE, mod: int = 4, held_out: int = 2) -> Model:
     """Learn from text and lang of rows with a lang whose crc32(doc_id) mod `mod` is known and not `held_out`.
 
-    A sample of about `sample` rows, by the hash of doc_id, takes part; of it every text is used whole.
+    All languages of these rows are learned.  Of each language a sample of about `sample` rows, by the hash of doc_id,
+    takes part, or all if they are fewer; of it every text is used whole.  The table of languages is collected.
     """
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_remainder(mod) != held_out))
-    there = rows.count()
-    if not there:
-        return Model([], np.ones((0, 1), np.float32), np.zeros((sum(CELLS), 1), np.float32), np.ones(1))
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(11), F.col("doc_id")), 11) / float(2**53)
-    rows = shared.written(rows.where(place < min(1.0, sample / there)).withColumn("back", F.pmod(F.xxhash64(F.lit(12), F.col("doc_id")), F.lit(5)) == 0), "labelled")
-    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    there = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(there)
     if not langs:
         return Model([], np.ones((0, 1), np.float32), np.zeros((sum(CELLS), 1), np.float32), np.ones(1))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(11), F.col("doc_id")), 11) / float(2**53)
+    often = [lang for lang in langs if there[lang] > sample]
+    if often:
+        share = F.create_map(*[x for lang in often for x in (F.lit(lang), F.lit(sample / there[lang]))])
+        rows = rows.where(place < F.coalesce(share[F.col("lang")], F.lit(1.0)))
+    rows = shared.written(rows.withColumn("back", F.pmod(F.xxhash64(F.lit(12), F.col("doc_id")), F.lit(5)) == 0), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {lang: i for i, lang in enumerate(langs)}
@@ -152,7 +162,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, mod: int = 4, held_out: int = 2)
         yield pa.RecordBatch.from_arrays([pa.array(one.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(sums[one, cell])], names=["one", "cell", "n"])
 
     # one row for each language and cell at most
-    fitting = rows.where("not back") if not rows.where("not back").isEmpty() else rows
+    fitted = {r.lang for r in rows.where("not back").select("lang").distinct().collect()}
+    fitting = rows.where(~F.col("back") | ~F.col("lang").isin(*fitted)) if fitted else rows  # no language is left out
     counts = fitting.select("lang", "text").mapInArrow(count, "one int, cell int, n long").groupBy("one", "cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((len(langs), sum(CELLS)))
     table[counts.column("one").to_numpy(), counts.column("cell").to_numpy()] = counts.column("n").to_numpy()
@@ -179,26 +190,26 @@ def fit(docs: DataFrame, sample: int = SAMPLE, mod: int = 4, held_out: int = 2)
     return Model(langs, code, odds, weight / weight.mean())
 
 
-def identify(docs: DataFrame, model: Model | None = None, mod: int = 4, held_out: int = 2, lead: float = 0.5) -> DataFrame:
-    """docs with held_out, lang_pred, score and ambiguous for every row; columns of those names are replaced.
+def identify(docs: DataFrame, model: Model | None = None, mod: int = 4, held_out: int = 2, lead: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """docs with held_out, lang_pred, score, ambiguous and loss for every row; columns of those names are replaced.
 
     docs has doc_id and text, and lang if the model is learned here.  lang_pred is a learned language, or `und` where the
     text is null or has no letter, or where nothing could be learned; its score is then 0.  score, from 0 to 1, is the
-    softmax of the losses; ambiguous tells that the two best losses are less than `lead` apart.  A tie goes to the
-    language that sorts first.  held_out is false for a null doc_id, whose row is not learned from either.  Whole texts
+    softmax of the losses; ambiguous tells that the two best losses are less than `lead` apart; loss is the best one for
+    each bit (null for `und`).  A tie goes to the language that sorts first.  held_out is false for a null doc_id, whose row is not learned from either.  Whole texts
     are used, however long.  Repeated rows get equal results; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     shared.small_batches(spark)
-    model = model or fit(docs, mod=mod, held_out=held_out)
-    shipped = spark.sparkContext.broadcast(model)
+    model = model or fit(docs, sample, mod, held_out)
+    shipped = spark.sparkContext.broadcast(tuple(model))  # a plain tuple: workers need no copy of the package to load it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
+        model = Model(*shipped.value)
         for batch in batches:
             text = batch.column("__text")
             n = len(text)
-            pred, score, close = np.full(n, "und", object), np.zeros(n), np.zeros(n, bool)
+            pred, score, close, best_loss = np.full(n, "und", object), np.zeros(n), np.zeros(n, bool), np.full(n, np.nan)
             judged = has_letter(text) & bool(model.langs)
             if judged.any():
                 loss = losses(margins(text, model.odds), model)
@@ -208,22 +219,41 @@ def identify(docs: DataFrame, model: Model | None = None, mod: int = 4, held_out
                 pred[judged] = np.array(model.langs, object)[best[judged]]
                 score[judged] = 1 / p.sum(axis=1)[judged]
                 close = judged & (second - loss.min(axis=1) < lead)
+                best_loss[judged] = loss.min(axis=1)[judged] / max(float(model.weight.sum()), 1e-9)
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(list(pred), pa.string()), pa.array(score), pa.array(close)], names=out.names)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(list(pred), pa.string()), pa.array(score), pa.array(close), pa.array(best_loss, from_pandas=True)], names=out.names)
 
-    new = ["held_out", "lang_pred", "score", "ambiguous"]
+    new = NEW
     kept = docs.select(*[docs[c] for c in docs.columns if c not in new], F.coalesce(_remainder(mod) == held_out, F.lit(False)).alias("held_out"))
-    schema = kept.selectExpr("*", "'' as lang_pred", "0d as score", "true as ambiguous").schema
+    schema = kept.selectExpr("*", "'' as lang_pred", "0d as score", "true as ambiguous", "cast(null as double) as loss").schema
     out = pa.schema([(f.name, pa.null()) for f in schema])
     return kept.withColumn("__text", docs["text"].cast("string")).mapInArrow(run, schema)
 
 
-def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language is not `und`, with the columns of docs.  Ambiguous texts stay."""
-    return identify(docs).where("lang_pred != 'und'").select(docs.columns) if not {"held_out", "lang_pred", "score", "ambiguous"} & set(docs.columns) else _clashing(docs)
+def drop_unidentified(docs: DataFrame, floor: float = CHANCE) -> DataFrame:
+    """The rows of docs that are in one of the learned languages, with the columns of docs.
+
+    A null text and one without letters go, and so does a text whose codeword loses `floor` or more for each bit: its
+    n-grams fit the bits of no language better than chance.  Texts that are ambiguous between two languages stay.  Where
+    nothing can be learned, as lang is null throughout, every text with a letter stays; where only one language is, there
+    is nothing to tell apart and the floor is not used.
+    """
+    renamed = docs.withColumnsRenamed({c: f"__kept_{c}" for c in NEW if c in docs.columns})
+    model = fit(docs)
+    found = identify(renamed, model)
+    if not model.langs:
+        fine = F.col("has_letters")
+        found = with_letters(renamed)
+    else:
+        fine = (F.col("lang_pred") != "und") & ((F.col("loss") < floor) | F.lit(len(model.langs) < 2))
+    return found.where(fine).select(*[F.col(f"__kept_{c}" if c in NEW else c).alias(c) for c in docs.columns])
+
+
+def with_letters(docs: DataFrame) -> DataFrame:
+    """docs with has_letters: whether the text has a letter of any script; columns of that name are replaced."""
 
+    @F.pandas_udf("boolean")
+    def letters(text):  # noqa: ANN001, ANN202
+        return text.__class__(has_letter(pa.array(text, pa.string())))
 
-def _clashing(docs: DataFrame) -> DataFrame:
-    renamed = docs.withColumnsRenamed({c: f"__kept_{c}" for c in ("held_out", "lang_pred", "score", "ambiguous")})
-    out = identify(renamed).where("lang_pred != 'und'").select(renamed.columns)
-    return out.withColumnsRenamed({f"__kept_{c}": c for c in docs.columns})
+    return docs.withColumn("has_letters", letters(docs["text"].cast("string")))

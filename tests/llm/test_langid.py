@@ -48,5 +48,32 @@ def test_accuracy_and_und(spark):
 
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
-    assert [tuple(r)[3:] for r in langid.identify(df).collect()] == [(False, "und", 0.0, False)]
+    assert [tuple(r)[3:] for r in langid.identify(df).collect()] == [(False, "und", 0.0, False, None)]
     assert langid.identify(df.limit(0)).collect() == []
+
+
+def test_texts_of_noise_are_rejected_and_clean_ones_stay(spark):
+    r = random.Random(9)
+    rows = corpus() + [(7000 + i, "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(400)), "aa") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {x.doc_id for x in langid.drop_unidentified(df).collect()}
+    assert {i for i, _, _ in rows if i < 7000} <= kept
+    unlabelled = df.selectExpr("doc_id", "text", "cast(null as string) as lang", "1 as loss")
+    assert langid.drop_unidentified(unlabelled).count() == len(rows) and langid.drop_unidentified(unlabelled).columns == unlabelled.columns
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = corpus() + [(8000 + i, "ωψφ ξχθ " * 20, "rare") for i in range(4)]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=50).collect()
+    assert {x.lang_pred for x in out if x.doc_id >= 8000} == {"rare"}
+    held = [x for x in out if x.held_out]
+    assert sum(x.lang == x.lang_pred for x in held) / len(held) > 0.97
+
+
+def test_the_model_is_shipped_without_the_package():
+    import pickle
+    import pickletools
+
+    model = langid.Model(["a", "b"], langid.codewords(2), np.zeros((3, 1), np.float32), np.ones(1))
+    names = {str(arg) for op, arg, _ in pickletools.genops(pickle.dumps(tuple(model), 2)) if op.name in ("GLOBAL", "STACK_GLOBAL")}
+    assert not any("layertext" in n for n in names)
