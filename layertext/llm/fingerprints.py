@@ -3,7 +3,8 @@
 A paragraph (a line) is cut every CELL bytes; the digests of the cuts, numbered among equals, are the elements of a
 text.  Each element goes into one cell of each third of a sketch, which keeps counts, sums of elements and sums of their
 checks.  The sketches of two versions are subtracted, and peeling pure cells recovers the elements in which they differ;
-where peeling fails the sketches are built again twice as large.
+where peeling fails the sketches are built again twice as large, until they are larger than both versions' elements; then
+the elements themselves are compared.
 """
 
 from __future__ import annotations
@@ -83,7 +84,8 @@ class Sketches:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         look = np.arange(len(of))
         with np.errstate(over="ignore"):
-            while True:
+            # a cell that only seems pure could be peeled again and again; a sketch holds no more elements than cells
+            while sum(len(x) for x, _, _ in found) <= len(of):
                 one = look[np.abs(self.count[look]) == 1]
                 x = self.key[one] * self.count[one].view(np.uint64)
                 pure = mix(x) * self.count[one].view(np.uint64) == self.check[one]
@@ -99,30 +101,47 @@ class Sketches:
         return (*parts, left == 0)
 
 
-def differences(a: np.ndarray, a_bounds: np.ndarray, b: np.ndarray, b_bounds: np.ndarray) -> np.ndarray:
-    """How many elements of each text of a are not in its partner of b, or the other way round, by peeling."""
+def changes(a: np.ndarray, a_bounds: np.ndarray, b: np.ndarray, b_bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, element, sign): the elements of each text of a that are not in its partner of b (1), or the other way round (-1)."""
     n = len(a_bounds) - 1
-    out, cells = np.zeros(n, np.int64), np.full(n, BASE)
+    cells, both = np.full(n, BASE), np.diff(a_bounds) + np.diff(b_bounds)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     todo = np.arange(n)
     while len(todo):
         # the larger sketches go in portions of bounded size
-        portion = todo[: max(1, int(np.searchsorted(np.cumsum(cells[todo] + np.diff(a_bounds)[todo] + np.diff(b_bounds)[todo]), 1 << 19)))]
+        portion = todo[: max(1, int(np.searchsorted(np.cumsum(cells[todo] + both[todo]), 1 << 19)))]
         todo = todo[len(portion) :]
         sketch = Sketches(cells[portion])
         for x, bounds, sign in ((a, a_bounds, 1), (b, b_bounds, -1)):
             size = bounds[portion + 1] - bounds[portion]
             at = np.repeat(bounds[portion] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
             sketch.add(np.repeat(np.arange(len(portion)), size), x[at], np.full(size.sum(), sign))
-        owner, _, _, done = sketch.peel()
-        out[portion] = np.where(done, np.bincount(owner, minlength=len(portion)), 0)
+        owner, x, sign, done = sketch.peel()
+        kept = done[owner]
+        out.append((portion[owner[kept]], x[kept], sign[kept]))
         cells[portion] *= 2
-        todo = np.r_[todo, portion[~done]]
-    return out
+        failed = portion[~done]
+        for i in failed[cells[failed] > 8 * both[failed] + 8 * BASE]:
+            mine, other = a[a_bounds[i] : a_bounds[i + 1]], b[b_bounds[i] : b_bounds[i + 1]]
+            for x, sign in ((np.setdiff1d(mine, other), 1), (np.setdiff1d(other, mine), -1)):
+                out.append((np.full(len(x), i), x, np.full(len(x), sign)))
+        todo = np.r_[todo, failed[cells[failed] <= 8 * both[failed] + 8 * BASE]]
+    owner, x, sign = (np.concatenate(c) for c in zip(*out, strict=True))
+    by = np.lexsort((x, sign, owner))
+    return owner[by], x[by], sign[by]
+
+
+def differences(a: np.ndarray, a_bounds: np.ndarray, b: np.ndarray, b_bounds: np.ndarray) -> np.ndarray:
+    """How many elements of each text of a are not in its partner of b, or the other way round, by peeling."""
+    return np.bincount(changes(a, a_bounds, b, b_bounds)[0], minlength=len(a_bounds) - 1)
 
 
 def likeness(a: np.ndarray, a_bounds: np.ndarray, b: np.ndarray, b_bounds: np.ndarray) -> np.ndarray:
     """Shared elements over all elements; 1 for two texts without any."""
-    apart = differences(a, a_bounds, b, b_bounds)
+    return _alike(differences(a, a_bounds, b, b_bounds), a_bounds, b_bounds)
+
+
+def _alike(apart: np.ndarray, a_bounds: np.ndarray, b_bounds: np.ndarray) -> np.ndarray:
     both = np.diff(a_bounds) + np.diff(b_bounds)
     shared_elements = (both - apart) / 2
     return np.where(both > 0, shared_elements / np.maximum(shared_elements + apart, 1), 1.0)
@@ -172,7 +191,10 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row of docs.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, removed and added of every row
+    of docs.
+
+    removed and added are the digests of the paragraphs that the edit takes away and brings in, as peeling recovers them.
 
     docs has doc_id and text; a null text counts as empty.  The next document is that of the next larger doc_id, after
     the last the first; rows that repeat a doc_id follow one another in the order of a hash of their texts, and a null
@@ -195,6 +217,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             return x[where], np.r_[0, np.cumsum(size)]
 
         own, after = chosen(at), chosen(at + 1)
+        owner, digest, sign = changes(*own, y, y_bounds)
+        apart = np.bincount(owner, minlength=len(at))
+        lists = []
+        for one in (1, -1):
+            ends = np.searchsorted(owner[sign == one], np.arange(len(at) + 1)).astype(np.int32)
+            lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(digest[sign == one].view(np.int64))))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([rows[i][2] for i in pairs], pa.int64()),
@@ -202,10 +230,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 pa.array([hashlib.sha256(t).hexdigest() for t in changed], pa.string()),
                 pa.array(shown(*own), pa.string()),
                 pa.array(shown(y, y_bounds), pa.string()),
-                pa.array(likeness(*own, y, y_bounds), pa.float64()),
+                pa.array(_alike(apart, own[1], y_bounds), pa.float64()),
                 pa.array(likeness(*own, *after), pa.float64()),
+                *lists,
             ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "removed", "added"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,5 +250,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield work(held)
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, removed array<long>, added array<long>"
     return with_next(docs).mapInArrow(run, schema)
