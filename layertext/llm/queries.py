@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layertext.llm import fingerprints, interpolation, langid, minhash, mixing, packing, passages, pivots, urls, warc
+from layertext.llm import fingerprints, interpolation, langid, minhash, mixing, packing, passages, pivots, shared, urls, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A text's words in DuckDB.
@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    found = shared.result(spark, lambda: minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85), "op3")
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
@@ -35,41 +35,44 @@ SELECT n.doc_id, n.n AS n_shingles, c.m AS component_id, n.doc_id = c.m AS kept
 """
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    found = shared.result(spark, lambda: mixing.mixture(table(spark, sf_dir, "documents")), "op1")
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op9_pack_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return shared.result(spark, lambda: packing.pack(table(spark, sf_dir, "documents")), "op9")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    # fit() is through with its tables when it returns
     found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
 def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.filter_urls(table(spark, sf_dir, "pages"))
+    return shared.result(spark, lambda: urls.filter_urls(table(spark, sf_dir, "pages")), "op2")
 
 
 def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return shared.result(spark, lambda: warc.round_trip(table(spark, sf_dir, "pages")), "op4")
 
 
 def op10_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pivots.top_products(table(spark, sf_dir, "embeddings"))
+    return shared.result(spark, lambda: pivots.top_products(table(spark, sf_dir, "embeddings")), "op10")
 
 
 def op7_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    found = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return found.withColumns({"n_removed": F.size("removed"), "n_added": F.size("added")}).drop("removed", "added")
 
 
 def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return interpolation.scores(table(spark, sf_dir, "documents"))
+    return shared.result(spark, lambda: interpolation.scores(table(spark, sf_dir, "documents")), "op6")
 
 
 def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("th")
+    return shared.result(spark, lambda: passages.repeated_passages(table(spark, sf_dir, "documents")).drop("th"), "op5")
 
 
 QUERIES = {
