@@ -33,6 +33,28 @@ def test_differences_are_exact():
     assert got.tolist() == want
 
 
+def test_changes_are_the_elements_that_differ(monkeypatch):
+    a, b = texts(seed=5), texts(seed=6)
+    x, y = fp.elements([t.encode() for t in a]), fp.elements([t.encode() for t in b])
+    want = []
+    for i in range(len(a)):
+        mine, other = (set(e[at[i] : at[i + 1]].tolist()) for e, at in (x, y))
+        want += [(i, e, 1) for e in mine - other] + [(i, e, -1) for e in other - mine]
+    got = lambda: sorted(zip(*(c.tolist() for c in fp.changes(*x, *y)), strict=True))
+    assert got() == sorted(want)
+    peel = fp.Sketches.peel
+    monkeypatch.setattr(fp.Sketches, "peel", lambda self: (*peel(self)[:3], np.zeros(len(self.cells), bool)))  # never succeeds
+    assert got() == sorted(want)
+
+
+def test_peeling_ends_where_cells_only_seem_pure():
+    sketch = fp.Sketches(np.array([12, 12]))
+    sketch.count[:] = 1
+    sketch.key[:] = np.arange(24, dtype=np.uint64)
+    sketch.check[:] = fp.mix(np.arange(24, dtype=np.uint64))
+    assert not sketch.peel()[3].any()
+
+
 def test_peeling_recovers_elements():
     a, bounds = fp.elements([b"one\ntwo\nthree"])
     sketch = fp.Sketches(np.array([48]))
@@ -52,6 +74,8 @@ def test_rows(spark, monkeypatch):
         changed = t[: len(t) - len(t) // 4] + u[: len(t) // 4]
         r = out[d]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        apart = sum(((cuts(t) - cuts(changed)) + (cuts(changed) - cuts(t))).values())
+        assert len(r.removed) + len(r.added) == apart
         assert r.near_edited == pytest.approx(near(t, changed)) and r.near_next == pytest.approx(near(t, u))
     assert out[1001].fingerprint == out[1002].fingerprint and out[1001].near_next == 1
 
