@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import threading
 import uuid
@@ -57,7 +58,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def result(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
     """Write what build() returns and delete the tables that were written on the way: only the result stays on disk.
 
-    build() must not hand out tables in any other way, as they are gone afterwards.
+    build() must not hand out tables in any other way, as they are gone afterwards.  The driver's garbage is collected, for
+    until then the executors keep the shuffle files of what build() ran.
     """
     path = new_path(spark, name)
     _open_scopes().append([])
@@ -68,4 +70,8 @@ def result(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> Da
         for done in _open_scopes().pop():
             at = spark._jvm.org.apache.hadoop.fs.Path(done)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
