@@ -24,8 +24,8 @@ CELLS = (256, 1 << 14, 1 << 15)
 SAMPLE = 2_500
 #: A text is rejected whose language loses, for each bit, at least what a margin of 0 does.
 CHANCE = float(np.log(2))
-#: Bytes handled at once.
-PIECE = 1 << 20
+#: Bytes handled at once; for each of them a row of log odds is looked up, 4 bytes a bit.
+PIECE = 1 << 16
 
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[65:91] += 32
@@ -60,21 +60,22 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
 
 
 def _grams(buf: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, last text, cells, text of each cell) for pieces of whole texts; long texts come in several pieces."""
-    x = buf.copy()
-    if len(x) > 1:  # capital letters of the second block of two bytes
-        x[1:][(buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E)] += 32
-    x = _BLANK[x]
+    """(first text, last text, cells, text of each cell in order) of one size of n-grams for pieces of whole texts; long texts
+    come in several pieces."""
     at = 0
     while at < len(bounds) - 1:
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PIECE, "right")) - 1)
         for low in range(int(bounds[at]), max(int(bounds[to]), int(bounds[at]) + 1), PIECE):
             high = min(int(bounds[to]), low + PIECE)
-            y = x[low : min(int(bounds[to]), high + 2)].astype(np.uint32)
+            end = min(int(bounds[to]), high + 2)
+            x = buf[low:end].copy()
+            before = np.r_[buf[low - 1 : low], x[:-1]] if low else np.r_[np.zeros(min(1, len(x)), np.uint8), x[:-1]]
+            x[(before == 0xC3) & (x >= 0x80) & (x <= 0x9E)] += 32  # capital letters of the second block of two bytes
+            y = _BLANK[x].astype(np.uint32)
             owner = np.repeat(np.arange(at, to), np.diff(bounds[at : to + 1])) if to > at + 1 else np.full(len(y), at)
             n = high - low
-            cells, owners, base = [y[:n]], [owner[:n]], CELLS[0]
-            code = y
+            yield at, to, y[:n], owner[:n]
+            code, base = y, CELLS[0]
             for size in (2, 3):
                 code = code[:-1] * np.uint32(0x01000193) + y[size - 1 :] + np.uint32(size)
                 m = min(n, len(code))
@@ -82,10 +83,8 @@ def _grams(buf: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.n
                     break
                 inside = owner[:m] == owner[size - 1 : m + size - 1]
                 mixed = (code[:m] * np.uint32(0x9E3779B1)) >> np.uint32(32 - (CELLS[size - 1].bit_length() - 1))
-                cells.append(mixed[inside] + np.uint32(base))
-                owners.append(owner[:m][inside])
+                yield at, to, mixed[inside] + np.uint32(base), owner[:m][inside]
                 base += CELLS[size - 1]
-            yield at, to, np.concatenate(cells), np.concatenate(owners)
         at = to
 
 
@@ -100,10 +99,9 @@ def margins(column: pa.Array, odds: np.ndarray) -> np.ndarray:
         if to == at + 1:
             total[at] += np.bincount(cells, minlength=len(odds)) @ odds
         else:
-            by = np.argsort(owners, kind="stable")
             own = np.flatnonzero(n)
             if len(own):
-                total[at + own] += np.add.reduceat(odds[cells[by]], np.r_[0, np.cumsum(n)[:-1]][own], axis=0)
+                total[at + own] += np.add.reduceat(odds[cells], np.r_[0, np.cumsum(n)[:-1]][own], axis=0)
     return total / np.sqrt(np.maximum(count, 1))[:, None]
 
 
@@ -111,8 +109,9 @@ def has_letter(column: pa.Array) -> np.ndarray:
     """Whether a text has a letter of any script; a null has none."""
     buf, bounds = words.text_buffer(column)
     ascii_letter = ((buf | 32) >= 97) & ((buf | 32) <= 122)
-    found = np.r_[0, np.cumsum(ascii_letter)][bounds]
-    out = np.diff(found) > 0
+    out, own = np.zeros(len(column), bool), np.flatnonzero(np.diff(bounds))
+    if len(own):
+        out[own] = np.logical_or.reduceat(ascii_letter, bounds[own])
     for i in np.flatnonzero(~out & (np.diff(bounds) > 0)):
         out[i] = any(map(str.isalpha, column[int(i)].as_py()))
     return out

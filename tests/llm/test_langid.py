@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,23 @@ def test_margins_equal_a_plain_sum():
         langid.PIECE = old
 
 
+def test_margins_take_little_memory_beside_the_texts():
+    column = pa.array(["Wörter über ÉTÉ und Ähnliches " * 65] * 1000)
+    odds = np.random.default_rng(2).normal(size=(sum(langid.CELLS), 7)).astype(np.float32)
+    tracemalloc.start()
+    try:
+        assert langid.has_letter(column).all()
+        whole = langid.margins(column, odds)
+        assert tracemalloc.get_traced_memory()[1] < 8 * column.nbytes
+    finally:
+        tracemalloc.stop()
+    old, langid.PIECE = langid.PIECE, 7  # pieces that begin within a letter
+    try:
+        assert np.allclose(langid.margins(column[:1], odds)[0], whole[0], rtol=1e-4)
+    finally:
+        langid.PIECE = old
+
+
 def corpus():
     r = random.Random(4)
     parts = {"aa": ["ka", "to", "mi", "re"], "bb": ["sch", "ung", "ver", "ein"], "cc": ["ção", "inho", "lh", "que"]}
