@@ -206,7 +206,7 @@ def identify(docs: DataFrame, model: Model | None = None, mod: int = 4, held_out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shipped.value)
         for batch in batches:
-            text = batch.column("__text")
+            text = batch.column(at)
             n = len(text)
             pred, score, close, best_loss = np.full(n, "und", object), np.zeros(n), np.zeros(n, bool), np.full(n, np.nan)
             judged = has_letter(text) & bool(model.langs)
@@ -219,14 +219,18 @@ def identify(docs: DataFrame, model: Model | None = None, mod: int = 4, held_out
                 score[judged] = 1 / p.sum(axis=1)[judged]
                 close = judged & (second - loss.min(axis=1) < lead)
                 best_loss[judged] = loss.min(axis=1)[judged] / max(float(model.weight.sum()), 1e-9)
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(list(pred), pa.string()), pa.array(score), pa.array(close), pa.array(best_loss, from_pandas=True)], names=out.names)
+            held = batch.columns[: len(out) - 4]
+            yield pa.RecordBatch.from_arrays([*held, pa.array(list(pred), pa.string()), pa.array(score), pa.array(close), pa.array(best_loss, from_pandas=True)], names=out.names)
 
     new = NEW
     kept = docs.select(*[docs[c] for c in docs.columns if c not in new], F.coalesce(_remainder(mod) == held_out, F.lit(False)).alias("held_out"))
     schema = kept.selectExpr("*", "'' as lang_pred", "0d as score", "true as ambiguous", "cast(null as double) as loss").schema
     out = pa.schema([(f.name, pa.null()) for f in schema])
-    return kept.withColumn("__text", docs["text"].cast("string")).mapInArrow(run, schema)
+    if dict(docs.dtypes)["text"] == "string":  # a batch holds the texts once
+        at = kept.columns.index("text")
+        return kept.mapInArrow(run, schema)
+    at = len(kept.columns)
+    return kept.select("*", docs["text"].cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def drop_unidentified(docs: DataFrame, floor: float = CHANCE) -> DataFrame:

@@ -3,6 +3,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from layertext.llm import langid
 
@@ -95,3 +96,12 @@ def test_the_model_is_shipped_without_the_package():
     model = langid.Model(["a", "b"], langid.codewords(2), np.zeros((3, 1), np.float32), np.ones(1))
     names = {str(arg) for op, arg, _ in pickletools.genops(pickle.dumps(tuple(model), 2)) if op.name in ("GLOBAL", "STACK_GLOBAL")}
     assert not any("layertext" in n for n in names)
+
+
+def test_a_batch_holds_the_texts_once_and_any_column_stays(spark):
+    rows = corpus()[:300]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("__text", (-F.col("doc_id")).cast("string"))
+    out = langid.identify(df)
+    assert {(r.doc_id, r.text, r["__text"]) for r in out.collect()} == {(i, t, str(-i)) for i, t, _ in rows}
+    as_bytes = df.drop("__text").withColumn("text", F.encode("text", "utf-8"))  # not a string: cast beside it
+    assert sorted(r.lang_pred for r in langid.identify(as_bytes).collect()) == sorted(r.lang_pred for r in out.collect())
