@@ -91,3 +91,10 @@ def test_null_pages_and_values_as_in_sql(spark, tmp_path):
         assert sorted(repr(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(map(repr, want.fetchall())), name
     n = catalogue.QUERIES["result_document"](spark, str(tmp_path)).where("page_id is null").collect()
     assert {r.n_regions for r in n} == {0}
+
+
+def test_pages_without_any_line(spark, tmp_path):
+    spark.read.parquet(f"{SF}/lineitem.parquet").limit(0).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{SF}/orders.parquet").limit(20).write.parquet(f"{tmp_path}/orders.parquet")
+    assert [r.n_regions for r in catalogue.QUERIES["result_document"](spark, str(tmp_path)).collect()] == [0] * 20
+    assert all(catalogue.QUERIES[n](spark, str(tmp_path)).count() == 0 for n in ("region_merge", "jsx_block", "mst_split", "quad_merge", "pair_merge_grid"))
